@@ -23,6 +23,12 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op5_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arbolex.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from arbolex.llm.secrets import BASE, secret_scan
 
@@ -40,7 +46,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_dropped").cast("long").alias("n_dropped"), F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op4_benchmark_decontamination, op6_secret_scans, op8_line_dedup)}
+QUERIES = {f.__name__: f for f in (op4_benchmark_decontamination, op5_setsketch_near_dedup, op6_secret_scans, op8_line_dedup)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
