@@ -2,10 +2,33 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbolex.llm.common import table
+from arbolex.llm.common import shared_dir, table
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_ffd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arbolex.llm.packing import pack, pieces
+
+    out = pieces(pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), capacity=1024, end=0))
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "padded")
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arbolex.llm.tokenfiles import checksums, read_tokens, write_tokens
+
+    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"), end=1)
+    return checksums(read_tokens(spark, path))
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +62,12 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[count(k).alias(f"n_{k}") for k in BASE], F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arbolex.llm.tokencounts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from arbolex.llm.linededup import line_dedup
 
@@ -46,7 +75,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_dropped").cast("long").alias("n_dropped"), F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op4_benchmark_decontamination, op5_setsketch_near_dedup, op6_secret_scans, op8_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_ffd_packing, op3_token_files, op4_benchmark_decontamination, op5_setsketch_near_dedup, op6_secret_scans, op8_line_dedup, op9_token_counts)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
