@@ -23,6 +23,24 @@ def op1_ffd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "padded")
 
 
+def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arbolex.llm.licenses import license_scan
+
+    base = F.filter("found", lambda x: x["base"])
+    starts = F.transform(base, lambda x: x["start"].cast("long"))
+    labels = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda x: x["label"]))), ",")
+    return license_scan(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        labels(base).alias("base_labels"),
+        labels("found").alias("labels"),
+        F.coalesce(F.array_max(F.transform("found", lambda x: x["score"])), F.lit(0.0)).alias("score"),
+    )
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from arbolex.llm.tokenfiles import checksums, read_tokens, write_tokens
 
@@ -82,7 +100,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_dropped").cast("long").alias("n_dropped"), F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ffd_packing, op3_token_files, op4_benchmark_decontamination, op5_setsketch_near_dedup, op6_secret_scans, op7_quality_rules, op8_line_dedup, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_ffd_packing, op2_license_scans, op3_token_files, op4_benchmark_decontamination, op5_setsketch_near_dedup, op6_secret_scans, op7_quality_rules, op8_line_dedup, op9_token_counts)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
