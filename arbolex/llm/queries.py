@@ -100,7 +100,18 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_dropped").cast("long").alias("n_dropped"), F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ffd_packing, op2_license_scans, op3_token_files, op4_benchmark_decontamination, op5_setsketch_near_dedup, op6_secret_scans, op7_quality_rules, op8_line_dedup, op9_token_counts)}
+def op10_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arbolex.llm.chat import format_conversations, read_back
+
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = r"\### Assistant: </turn> ok"
+    turns = turns.union(spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema))
+    tokenizer = tokenizer_path("byte_bpe_50k.json")
+    blocks, members = format_conversations(turns, tokenizer)
+    return members.join(read_back(blocks, tokenizer), "key").drop("key")
+
+
+QUERIES = {f.__name__: f for f in (op1_ffd_packing, op2_license_scans, op3_token_files, op4_benchmark_decontamination, op5_setsketch_near_dedup, op6_secret_scans, op7_quality_rules, op8_line_dedup, op9_token_counts, op10_chat_prefix_tree)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -128,4 +139,14 @@ m AS (SELECT k.*, first IS NOT NULL AND first <> doc_id AS gone FROM k LEFT JOIN
 SELECT doc_id, count(*) AS n_lines, sum(gone::INT)::BIGINT AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM m GROUP BY doc_id""",
+    "op10_chat_prefix_tree": r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))),
+e AS (SELECT *, replace(replace(replace(text, '\', '\\'), '<turn>', '\<turn>'), '</turn>', '\</turn>') AS said,
+  replace(replace(replace(replace(role, '\', '\\'), '<turn>', '\<turn>'), '</turn>', '\</turn>'), chr(10), '\n') AS name FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(15 + length(name) + length(said))::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id""",
 }
