@@ -480,3 +480,50 @@ def mwe_rewrite(spark, sf):
 def punctuation_vectors(spark, sf):
     return M.punctuation(_model(spark, sf)).select("word", F.size("vec").alias("n"))
 
+
+
+def _training(spark, sf):
+    """Sentences (lines of documents), their vocabularies and examples, with subsampling."""
+    docs = _docs(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "text"))
+    sentences = parsed(docs.select((F.col("doc_id") * 1_000_000 + F.col("i")).alias("doc_id"), "text"))
+    words = V.with_sampling(V.indexed(V.at_least(V.lemma_counts(sentences), MIN)), 1e-4)
+    contexts = V.with_sampling(V.indexed(V.at_least(V.context_counts(sentences), MIN)), 1e-4)
+    return sentences, words, contexts
+
+
+def _train(spark, sf, **settings):
+    from arbolex.operators import training as T
+
+    sentences, words, contexts = _training(spark, sf)
+    examples = X.examples(sentences, words, contexts, seed=11)
+    own = words.orderBy("idx").select("cn").toPandas()["cn"].to_numpy()  # vocabularies, not corpora
+    noise = V.noise_distribution(contexts, 1e-4).join(contexts.select("word", "idx"), "word").orderBy("idx").select("share").toPandas()["share"].to_numpy()
+    s = T.Settings(dep=24, assoc=16, epochs=1, rounds=2, **settings)
+    w = T.train(examples, own, noise, len(noise), s)
+    return T.as_model(spark, words, w)
+
+
+def _moved(rows):
+    return rows.select("word", F.size("vec").alias("n"), F.exists("vec", lambda x: F.isnan(x) | (F.abs(x) > 3)).alias("bad"))
+
+
+@query(None)
+def train_embeddings(spark, sf):
+    return _moved(_train(spark, sf))
+
+
+@query(None)
+def toks_train(spark, sf):
+    return _moved(_train(spark, sf, tokens=True))
+
+
+@query(None)
+def train_gramm(spark, sf):
+    from arbolex.operators import training as T
+
+    sentences, _, _ = _training(spark, sf)
+    words = V.indexed(V.at_least(V.token_counts(V.token_lemma_counts(sentences)), MIN)).select("word", "idx")
+    n = words.count()
+    w = T.train_grammar(X.grammar_examples(sentences, words), n, size=8, epochs=1)
+    rows = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(w)], "idx int, vec array<float>")
+    return _moved(words.join(rows, "idx"))
