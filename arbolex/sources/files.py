@@ -47,7 +47,7 @@ def read_token_lemmas(spark: SparkSession, path: str) -> DataFrame:
     """token, lemma, cnt of lines ``token lemma count ...``. Lines with an even number of parts or fewer
     than three are skipped, and tokens with a count that is no number."""
     rows = _lines(spark, path).select(F.split("value", " ").alias("p")).where((F.size("p") >= 3) & (F.size("p") % 2 == 1))
-    pairs = F.transform(F.sequence(F.lit(1), F.size("p") - 2, F.lit(2)), lambda i: F.struct(F.get("p", i).alias("lemma"), F.get("p", i + 1).try_cast("long").alias("cnt")))
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("p") - 2, F.lit(1)), F.lit(2)), lambda i: F.struct(F.get("p", i).alias("lemma"), F.get("p", i + 1).try_cast("long").alias("cnt")))
     rows = rows.select(F.get("p", 0).alias("token"), pairs.alias("x")).where(F.forall("x", lambda x: x["cnt"].isNotNull()))
     return rows.select("token", F.explode("x").alias("x")).select("token", "x.*").groupBy("token", "lemma").agg(F.max("cnt").alias("cnt"))
 
