@@ -38,9 +38,9 @@ def _curve(rows: DataFrame) -> DataFrame:
     """By falling usim, a row for each value: recall and precision so far."""
     groups = rows.groupBy("usim").agg(F.count("*").alias("n"), F.sum((F.col("sim") == 1).cast("long")).alias("good"))
     so_far = Window.orderBy(F.desc("usim")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = rows.agg(F.sum((F.col("sim") == 1).cast("long")).alias("all"))
-    curve = groups.select("usim", F.sum("n").over(so_far).alias("n"), F.sum("good").over(so_far).alias("good")).join(F.broadcast(total))
-    return curve.select("usim", (F.col("good") / F.col("all")).alias("recall"), (F.col("good") / F.col("n")).alias("precision"))
+    total = rows.agg(F.sum((F.col("sim") == 1).cast("long"))).scalar()
+    curve = groups.select("usim", F.sum("n").over(so_far).alias("n"), F.sum("good").over(so_far).alias("good"))
+    return curve.select("usim", (F.col("good") / total).alias("recall"), (F.col("good") / F.col("n")).alias("precision"))
 
 
 def average_precision(rows: DataFrame, trapezoid: bool = False) -> DataFrame:

@@ -30,10 +30,11 @@ def space(model: DataFrame, sizes: tuple[int, int, int], which: str = "all", a_r
 
 
 def nearest(model: DataFrame, word: str, sizes: tuple[int, int, int], which: str = "all", a_ratio: float = 1.0, count: int = 40) -> DataFrame:
-    """word, sim of the count nearest; ties by word. Words of zero norm have similarity 0."""
+    """word, sim of the count nearest; ties by word. Words of zero norm have similarity 0; an unknown word has none."""
     m = space(model, sizes, which, a_ratio)
-    one = F.broadcast(m.where(F.col("word") == word).orderBy("idx").limit(1).select(F.col("vec").alias("__v")))  # one row
-    rows = m.where(F.col("word") != word).join(one).select("word", F.coalesce(V.cosine(F.col("vec"), F.col("__v")), F.lit(0.0)).alias("sim"))
+    one = m.where(F.col("word") == word).orderBy("idx").select("vec").first()  # a single vector, used as a constant
+    vector = F.array(*map(F.lit, one["vec"])) if one else F.lit(None).cast("array<double>")
+    rows = m.where((F.col("word") != word) & F.lit(one is not None)).select("word", F.coalesce(V.cosine(F.col("vec"), vector), F.lit(0.0)).alias("sim"))
     return rows.orderBy(F.desc("sim"), "word").limit(count)
 
 

@@ -105,15 +105,14 @@ def sampling_probability(cn: Column, all_cn: Column, threshold: float) -> Column
 
 
 def with_sampling(vocab: DataFrame, threshold: float) -> DataFrame:
-    total = vocab.agg(F.sum("cn").alias("__total"))  # one row
-    return vocab.join(F.broadcast(total)).withColumn("p", sampling_probability(F.col("cn"), F.col("__total"), threshold)).drop("__total")
+    total = vocab.agg(F.sum("cn")).scalar()  # a scalar subquery: no join
+    return vocab.withColumn("p", sampling_probability(F.col("cn"), total, threshold))
 
 
 def noise_distribution(vocab: DataFrame, threshold: float) -> DataFrame:
     """word, share: of the draws for negative examples, in proportion to count times sampling probability."""
     weighted = with_sampling(vocab, threshold).withColumn("__w", F.col("cn") * F.col("p"))
-    total = weighted.agg(F.sum("__w").alias("__all"))
-    return weighted.join(F.broadcast(total)).select("word", (F.col("__w") / F.col("__all")).alias("share"))
+    return weighted.select("word", (F.col("__w") / weighted.agg(F.sum("__w")).scalar()).alias("share"))
 
 
 def subsampling_report(vocab: DataFrame, thresholds: list[float], percents: tuple[int, ...] = (1, 5, 10, 25, 50)) -> DataFrame:
