@@ -15,6 +15,8 @@ Stages, each distributed, none that emits all pairs of a group:
    about BLOCK sets: a block pair's similarities come at once from one product of incidence matrices,
    exactly, and only links that join components leave it. No cap: the number of blocks grows instead.
 5. Components of all links.
+
+Every group that a task holds is bounded: a block, or one document.
 """
 
 from __future__ import annotations
@@ -130,7 +132,7 @@ def block_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, per
 
 def _block_pair(percent: int):
     def run(group: pa.Table) -> pa.Table:
-        node, comp = group.column("node").to_pylist(), group.column("component").to_pylist()
+        comp = group.column("component").to_pylist()
         first = np.array(group.column("first").to_pylist())
         sets = [np.frombuffer(x, np.uint64) for x in group.column("set").to_pylist()]
         left = np.flatnonzero(first)
@@ -147,7 +149,7 @@ def _block_pair(percent: int):
             for i, j in block_links(sets, left, right, percent):
                 if (x := root(comp[i])) != (y := root(comp[j])):
                     parent[x] = y
-                    out.append((node[i], node[j]))
+                    out.append((x, y))
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     return run
@@ -191,11 +193,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     several = named.join(several, "doc_id").where("node <> a").select("a", F.col("node").alias("b")).distinct()
     links = stored(pairs.mapInArrow(_verified(k, percent), "a long, b long").union(several), "links")
 
-    label = components(links, "a", "b")
-    more = stored(_rest(star, label, texts, nodes, k, percent), "more")
-    if not more.isEmpty():
-        label = components(links.union(more), "a", "b")
-    label = nodes.select("node", "doc_id").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named_by = stored(components(links, "a", "b"), "components")
+    label = nodes.select("node", "doc_id", "n").join(named_by, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    more = components(stored(_rest(star, named_by, label, texts, k, percent), "more"), "a", "b").select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    label = label.join(more, "component", "left").select("node", "doc_id", F.coalesce("whole", "component").alias("component"))
     least = label.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     label = label.select("node", "component").join(least, "component").select("node", "component_id")
     linked = named.select(*KEY, "doc_id", "n", "node").join(label, "node").select("doc_id", "n", "component_id")
@@ -203,14 +204,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     return linked.union(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _rest(star: DataFrame, label: DataFrame, texts: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) between members of one group of candidates that the stars have left in different components."""
-    groups = components(star, "a", "b").withColumnRenamed("component", "group")
-    groups = groups.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")).join(nodes.select("node", "n"), "node")
+def _rest(star: DataFrame, named_by: DataFrame, label: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b): components to be joined, by links between members of one group of candidates that the stars have left in different components."""
+    open_ = star
+    for c in ("a", "b"):
+        open_ = open_.join(named_by.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")), c, "left").withColumn(f"c{c}", F.coalesce(f"c{c}", c))
+    groups = stored(components(open_.select("ca", "cb"), "ca", "cb"), "groups").select(F.col("node").alias("component"), F.col("component").alias("group"))
+    groups = label.select("node", "component", "n").join(groups, "component")
     parts = groups.groupBy("group", "component").agg(F.count("*").alias("members"), F.sum("n").alias("elements"))
-    whole = parts.groupBy("group").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("members", "component")).alias("main"), F.max(F.struct("members", "component", "elements")).alias("x"), F.sum("members").alias("all"), F.sum("elements").alias("every"))
+    whole = parts.groupBy("group").agg(F.max_by("component", F.struct("members", "component")).alias("main"), F.max(F.struct("members", "component", "elements")).alias("x"), F.sum("members").alias("all"), F.sum("elements").alias("every"))
     blocks = lambda members, elements: F.greatest(F.lit(1), F.ceil(members / BLOCK), F.ceil(elements / (2500 * BLOCK))).cast("int")
-    whole = whole.where("parts > 1").select("group", "main", blocks(F.col("all") - F.col("x.members"), F.col("every") - F.col("x.elements")).alias("others"), blocks(F.col("x.members"), F.col("x.elements")).alias("mains"))
+    whole = whole.select("group", "main", blocks(F.col("all") - F.col("x.members"), F.col("every") - F.col("x.elements")).alias("others"), blocks(F.col("x.members"), F.col("x.elements")).alias("mains"))
     rows = groups.join(whole, "group").withColumn("other", F.col("component") != F.col("main"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("other"), F.col("others")).otherwise(F.col("mains"))).cast("int"))
     sets = rows.select("node").join(texts, "node").mapInArrow(_sets(k), "node long, set binary")
@@ -218,5 +222,5 @@ def _rest(star: DataFrame, label: DataFrame, texts: DataFrame, nodes: DataFrame,
     own, others = F.col("own"), F.col("others")
     of_main = F.transform(F.sequence(F.lit(0), others - 1), lambda i: pair(i, others + own, False))
     of_other = F.transform(F.sequence(F.lit(0), others + F.col("mains") - 1), lambda j: F.when(j >= own, pair(own, j, True)).otherwise(pair(j, own, False)))
-    rows = rows.join(sets, "node").select("group", "node", "component", "set", F.explode(F.when(F.col("other"), of_other).otherwise(of_main)).alias("x")).select("group", "node", "component", "set", "x.*")
+    rows = rows.join(sets, "node").select("group", "component", "set", F.explode(F.when(F.col("other"), of_other).otherwise(of_main)).alias("x")).select("group", "component", "set", "x.*")
     return rows.groupBy("group", "i", "j").applyInArrow(_block_pair(percent), "a long, b long")
