@@ -168,10 +168,26 @@ class Sentence:
 _PUNCTUATION = frozenset(PUNCTUATION)
 
 
+#: What the rules read; of these they change head and deprel.
+_READ = ("id", "form", "lemma", "feats", "head", "deprel")
+
+
 def _rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        toks = [Sentence([{k: v or "" for k, v in t.items()} for t in s]).rewrite() for s in batch.column("toks").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("sent_id"), pa.array(toks, batch.schema.field("toks").type)], ["sent_id", "toks"])
+        lists = batch.column("toks")
+        columns = {f: lists.values.field(f).fill_null("") for f in FIELDS}
+        read = [columns[f].to_pylist() for f in _READ]
+        order, ends, new = [], [0], {"id": [], "head": [], "deprel": []}
+        for a, b in zip(lists.offsets[:-1].to_pylist(), lists.offsets[1:].to_pylist(), strict=True):
+            toks = Sentence([dict(zip(_READ, t, strict=True)) for t in zip(*(c[a:b] for c in read), strict=True)]).rewrite()
+            order += [*range(a, b), *[None] * (len(toks) - (b - a))]  # stubs come last, and have no row of their own yet
+            ends.append(len(order))
+            for f, out in new.items():
+                out += [t[f] for t in toks]
+        places = pa.array(order, pa.int64())
+        made = [pa.array(new[f], pa.string()) if f in new else columns[f].take(places).fill_null("STUB" if f == "misc" else "_") for f in FIELDS]
+        toks = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(made, list(FIELDS)))
+        yield pa.RecordBatch.from_arrays([batch.column("sent_id"), toks], ["sent_id", "toks"])
 
 
 def fit(sentences: DataFrame, exclude_numbers: bool = False) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from arbolex.operators.models import normalised
 
-FORMATS = ("c2v", "bin", "txt")
+FORMATS = ("parts", "bin", "txt")
 
 
 @dataclass(frozen=True)
@@ -33,7 +33,7 @@ class Header:
         return self.dep, self.assoc, self.gramm
 
     def line(self, kind: str) -> bytes:
-        numbers = [self.words, self.size, *(self.sizes if kind == "c2v" else ())]
+        numbers = [self.words, self.size, *(self.sizes if kind == "parts" else ())]
         return (" ".join(map(str, numbers)) + "\n").encode()
 
 
@@ -42,9 +42,9 @@ def parse(data: bytes, kind: str) -> tuple[Header, list[str], np.ndarray]:
         raise ValueError(kind)
     end = data.index(b"\n")
     numbers = list(map(int, data[:end].split()))
-    if len(numbers) != (5 if kind == "c2v" else 2):
+    if len(numbers) != (5 if kind == "parts" else 2):
         raise ValueError(f"not the header of a {kind} model: {data[:end][:80]!r}")
-    head = Header(*numbers) if kind == "c2v" else Header(*numbers, dep=numbers[1])
+    head = Header(*numbers) if kind == "parts" else Header(*numbers, dep=numbers[1])
     words, vectors, at = [], np.zeros((head.words, head.size), np.float32), end + 1
     for i in range(head.words):
         blank = data.index(b" ", at)
@@ -69,12 +69,12 @@ def build(head: Header, rows: Iterator[tuple[str, list[float]]], kind: str) -> b
     return b"".join(out)
 
 
-def read_model(spark: SparkSession, path: str, kind: str = "c2v", normalise: bool = False) -> tuple[Header, DataFrame]:
+def read_model(spark: SparkSession, path: str, kind: str = "parts", normalise: bool = False) -> tuple[Header, DataFrame]:
     """Header, and idx, word, vec. Any path that Spark can read; a zero vector cannot be normalised."""
     files = spark.read.format("binaryFile").load(path)
     first = files.select(F.expr("cast(substring(content, 1, 200) as binary)").alias("c")).first()["c"]
     numbers = list(map(int, bytes(first).split(b"\n")[0].split()))
-    head = Header(*numbers) if kind == "c2v" else Header(*numbers, dep=numbers[1])
+    head = Header(*numbers) if kind == "parts" else Header(*numbers, dep=numbers[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,7 +95,7 @@ def read_model(spark: SparkSession, path: str, kind: str = "c2v", normalise: boo
     return head, rows
 
 
-def write_model(model: DataFrame, path: str, sizes: tuple[int, int, int], kind: str = "c2v") -> None:
+def write_model(model: DataFrame, path: str, sizes: tuple[int, int, int], kind: str = "parts") -> None:
     """One file at path (a Hadoop path or URI), rows by idx. The format is one file, so the rows stream through the driver."""
     spark = model.sparkSession
     count, size = model.count(), model.select(F.max(F.size("vec"))).first()[0] or sum(sizes)

@@ -60,7 +60,7 @@ def test_model_round_trip(spark, tmp_path, kind):
     path = f"file://{tmp_path}/m.{kind}"
     models.write_model(m, path, (2, 1, 0), kind)
     head, got = models.read_model(spark, path, kind)
-    assert (head.words, head.size) == (3, 3) and (kind != "c2v" or head.sizes == (2, 1, 0))
+    assert (head.words, head.size) == (3, 3) and (kind != "parts" or head.sizes == (2, 1, 0))
     back = got.orderBy("idx").collect()
     assert [r.word for r in back] == [w for _, w, _ in rows]
     assert np.allclose([r.vec for r in back], [v for *_, v in rows], atol=1e-6)
