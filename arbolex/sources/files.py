@@ -94,8 +94,10 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_extracted(spark: SparkSession, path: str, suffix: str = "dep") -> DataFrame:
-    """w1, w2, score of all files with the suffix below a folder; rows of another form are skipped."""
-    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{suffix}").text(path).select(F.split("value", " ").alias("p")).where(F.size("p") == 3)
+    """w1, w2, score of all files below a folder that have the suffix, or lie in a folder that has it (as
+    ``write_extracted`` makes them); rows of another form are skipped. Other files are not read."""
+    text = spark.read.option("recursiveFileLookup", True).text(path).where(F.col("_metadata.file_path").rlike(rf"\.{suffix}(/part-[^/]*)?$"))
+    rows = text.select(F.split("value", " ").alias("p")).where(F.size("p") == 3)
     return rows.select(F.get("p", 0).alias("w1"), F.get("p", 1).alias("w2"), F.get("p", 2).try_cast("double").alias("score")).dropna()
 
 
