@@ -220,8 +220,12 @@ def task_rue(spark: SparkSession, p: Parameters) -> None:
 
 def task_fsim(spark: SparkSession, p: Parameters) -> None:
     head, m = _model(spark, p)
-    spaces = ("all", "dep", "assoc") if p["fsim_fmt"] == "detail" else ("all",)
-    rows = similarity.pairs(files.read_pairs(spark, p["fsim_file"]), m, head.sizes, p.number("a_ratio"), spaces)
+    given, spaces = files.read_pairs(spark, p["fsim_file"]), ("all", "dep", "assoc")
+    if p["fsim_fmt"] != "detail":  # the first line is a header, and said again
+        first = spark.read.text(p["fsim_file"]).first()["value"]
+        print(first)
+        given, spaces = given.where(F.concat_ws(",", "word1", "word2") != first.rpartition(",")[0]), ("all",)
+    rows = similarity.pairs(given, m, head.sizes, p.number("a_ratio"), spaces)
     for r in rows.toLocalIterator():
         print(",".join(map(str, r)))
 
