@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arbolex.llm.common import KEY, NOT_WORD, lower_ascii, refuse_clashes, row_key, words
+from arbolex.llm.common import KEY, lower_ascii, refuse_clashes, row_key, words
 
 #: Rows of the hash set up to which it is broadcast (8 bytes each and the table's overhead: under 100 MB);
 #: a larger one is joined by a shuffle.
@@ -56,7 +56,8 @@ def hits(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
         found = near if found is None else found.union(near)
     if found is None:
         return docs.select(*row_key("doc_id", "text"), F.array().cast("array<int>").alias("hit"), F.array().cast("array<string>").alias("item_ids")).where(F.lit(False))
-    suspects = base.join(found.distinct(), KEY, "left_semi")
+    # texts are shuffled, which are smaller than arrays of words; their words are cut again afterwards
+    suspects = docs.select(*row_key("doc_id", "text"), "text").join(found.distinct(), KEY, "left_semi").select(*KEY, words(lower_ascii(F.col("text"))).alias("w"))
     for size in sorted(sizes):
         at = suspects.select(*KEY, F.explode(_grams("w", size, 1)).alias("g")).select(*KEY, "g.*")
         at = at.join(hint(grams.where(F.col("size") == size)), "gram").select(*KEY, "pos", "size", "item_id")
@@ -87,9 +88,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, remove: str =
         raise ValueError(remove)
     docs = docs.drop("n_words", "n_hit", "item_ids", "contaminated")
     found = hits(docs, items, n).withColumnRenamed("hit", "__hit")
-    w = F.split(lower_ascii(F.col("text")), NOT_WORD)
-    out = docs.select("*", *row_key("doc_id", "text")).join(found, KEY, "left")
-    count = F.size(F.array_remove(w, ""))
+    # words are counted before the join, so that texts nobody selects need not go through it
+    out = docs.select("*", *row_key("doc_id", "text"), F.size(words(lower_ascii(F.col("text")))).alias("n_words")).join(found, KEY, "left")
     text = F.col("text")
     if remove == "spans":
         whole = F.coalesce("text", F.lit(""))
@@ -102,7 +102,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, remove: str =
         out = out.where(~hit)
     return out.select(
         *[text.alias(c) if c == "text" else docs[c] for c in docs.columns],
-        count.alias("n_words"),
+        "n_words",
         F.coalesce(F.size("__hit"), F.lit(0)).alias("n_hit"),
         F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
         hit.alias("contaminated"),
