@@ -27,6 +27,8 @@ from arbolex.llm.pieces import encoder
 
 OPEN, CLOSE, BREAK = "<turn>", "</turn>", "\n"
 BLOCK_TOKENS = 65_536
+#: Conversations whose turns are encoded in one call.
+AT_ONCE = 500
 NODE = "struct<parent:int,depth:int,start:int,end:int,position:int,loss_start:int,loss_end:int,attend:array<struct<start:int,end:int>>>"
 BLOCKS = f"block long, ids array<int>, nodes array<{NODE}>, conversations array<struct<key:string,node:int>>"
 _SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32())])
@@ -84,13 +86,13 @@ class Block:
         self.ends: list[dict] = []
         self.open: list[tuple[str, int]] = []  # hash and node of the turns of the last conversation
 
-    def add(self, steps: list[str], turns: list[dict], tool) -> None:
+    def add(self, steps: list[str], turns: list[tuple[str, str]], encoded: dict[tuple[str, str], tuple]) -> None:
         shared = 0
         while shared < min(len(steps), len(self.open)) and self.open[shared][0] == steps[shared]:
             shared += 1
         del self.open[shared:]
         for step, turn in zip(steps[shared:], turns[shared:], strict=True):
-            ids, at = tool.encode(list(turn_parts(turn["role"] or "", turn["text"] or "")))
+            ids, opened, closed = encoded[turn]
             parent = self.open[-1][1] if self.open else -1
             up = self.nodes[parent] if self.open else None
             attend = [dict(x) for x in up["attend"]] if up else []
@@ -99,16 +101,23 @@ class Block:
             elif up:
                 attend.append({"start": up["start"], "end": up["end"]})
             first = len(self.ids)
-            loss = turn["role"] == "assistant"
-            self.ids += ids.tolist()
+            loss = turn[0] == "assistant"
+            self.ids += ids
             self.nodes.append({
                 "parent": parent, "depth": len(self.open), "start": first, "end": len(self.ids), "position": up["position"] + up["end"] - up["start"] if up else 0,
-                "loss_start": first + int(at[1]) if loss else 0, "loss_end": first + int(at[2]) if loss else 0, "attend": attend,
+                "loss_start": first + opened if loss else 0, "loss_end": first + closed if loss else 0, "attend": attend,
             })
             self.open.append((step, len(self.nodes) - 1))
         self.ends.append({"key": steps[-1], "node": self.open[-1][1]})
 
 
+def encode_turns(turns: set[tuple[str, str]], tool) -> dict[tuple[str, str], tuple[list[int], int, int]]:
+    """Of each different (role, text) its ids, and where among them the text begins and ends; all in one call."""
+    order = sorted(turns)
+    ids, at = tool.encode([part for t in order for part in turn_parts(*t)])
+    return {t: (ids[at[3 * i] : at[3 * i + 3]].tolist(), int(at[3 * i + 1] - at[3 * i]), int(at[3 * i + 2] - at[3 * i])) for i, t in enumerate(order)}
+
+
 def _blocks(tokenizer: str, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -120,9 +129,11 @@ def _blocks(tokenizer: str, limit: int):
         def row() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((number, block.ids, block.nodes, block.ends), _BLOCKS, strict=True)], schema=_BLOCKS)
 
-        for batch in batches:
-            for path, turns in zip(batch.column("path").to_pylist(), batch.column("turns").to_pylist(), strict=True):
-                block.add([path[i : i + 32] for i in range(0, len(path), 32)], turns, tool)
+        for batch in (b.slice(i, AT_ONCE) for b in batches for i in range(0, len(b), AT_ONCE)):
+            every = [[(t["role"] or "", t["text"] or "") for t in turns] for turns in batch.column("turns").to_pylist()]
+            encoded = encode_turns({t for turns in every for t in turns}, tool)
+            for path, turns in zip(batch.column("path").to_pylist(), every, strict=True):
+                block.add([path[i : i + 32] for i in range(0, len(path), 32)], turns, encoded)
                 if len(block.ids) >= limit:
                     yield row()
                     block, number = Block(), number + 1
