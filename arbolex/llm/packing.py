@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arbolex.llm.common import refuse_clashes
-from arbolex.llm.pieces import encoder
+from arbolex.llm.pieces import encoder, slices
 
 GROUP_TOKENS = 4_000_000
 #: Sequences are numbered from the task's number times this.
@@ -72,7 +72,7 @@ def padded_length(length: int, capacity: int) -> int:
 def _encoded(tokenizer: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(tokenizer)
-        for batch in batches:
+        for batch in slices(batches, "text"):
             ids, at = tool.encode(batch.column("text").to_pylist())
             out = [np.append(ids[at[i] : at[i + 1]], np.uint32(end)).astype("<u4").tobytes() for i in range(len(batch))]
             yield pa.RecordBatch.from_arrays([batch.column("__deal"), batch.column("doc_id"), pa.array(out, pa.binary())], ["__deal", "doc_id", "ids"])

@@ -12,9 +12,11 @@ from __future__ import annotations
 import json
 import os
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from arbolex.llm.textarrays import mix
 
@@ -246,5 +248,14 @@ class Encoder:
         return where - np.repeat(bounds[:-1], each)
 
 
-def texts_of(column: pa.Array) -> list[str | None]:
-    return column.to_pylist()
+def slices(batches: Iterator[pa.RecordBatch], *columns: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut to about limit bytes of text each (a longer row is a batch of its own): what a worker
+    holds at once follows the text's size, not the number of rows that Spark puts in a batch."""
+    for batch in batches:
+        size = sum(pc.binary_length(batch.column(c)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
+        total = np.concatenate([[0], np.cumsum(size)])
+        start = 0
+        while start < len(batch):
+            end = max(start + 1, int(np.searchsorted(total, total[start] + limit, "right")) - 1)
+            yield batch.slice(start, end - start)
+            start = end

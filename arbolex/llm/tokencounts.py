@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arbolex.llm.common import refuse_clashes
-from arbolex.llm.pieces import encoder
+from arbolex.llm.pieces import encoder, slices
 
 RULES = ("first", "last", "majority")
 SCHEMA = "doc_id long, field string, section int, start int, end int, n_tokens long, n_crossing long, doc_tokens long"
@@ -40,7 +40,7 @@ def allocate(start: np.ndarray, end: np.ndarray, edges: np.ndarray, rule: str) -
 def _counted(tokenizer: str, fields: tuple[str, ...], rule: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(tokenizer)
-        for batch in batches:
+        for batch in slices(batches, *(f"__{f}" for f in fields)):
             values = [[x or "" for x in batch.column(f"__{f}").to_pylist()] for f in fields]
             texts = ["\n".join(x) for x in zip(*values, strict=True)]
             ids, at, where = tool.encode_with_places(texts)

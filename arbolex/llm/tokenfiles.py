@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arbolex.llm.common import refuse_clashes
-from arbolex.llm.pieces import encoder
+from arbolex.llm.pieces import encoder, slices
 
 SCHEMA = "part int, doc_id long, place long, n_tokens long, ids array<int>"
 
@@ -27,7 +27,7 @@ def _encoded(tokenizer: str, end: int):
 
         context, place, tool = TaskContext.get(), 0, encoder(tokenizer)
         part = context.partitionId() if context else 0
-        for batch in batches:
+        for batch in slices(batches, "text"):
             n = len(batch)
             ids, at = tool.encode(batch.column("text").to_pylist())
             ids = np.insert(ids, at[1:], end).astype(np.int32)
