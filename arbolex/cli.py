@@ -125,23 +125,22 @@ def _numbers(rows: DataFrame, column: str) -> np.ndarray:
 
 def task_train(spark: SparkSession, p: Parameters, tokens: bool = False) -> None:
     column = "form" if tokens else "lemma"
-    words = vocab.with_sampling(files.read_vocab(spark, p["vocab_t" if tokens else "vocab_l"]), p.number("sample_w"))
+    head, old = _model(spark, p) if tokens else (None, None)
+    words = vocab.with_sampling(files.read_vocab(spark, p["vocab_t" if tokens else "vocab_l"], old), p.number("sample_w"))
     contexts = vocab.with_sampling(files.read_vocab(spark, p["vocab_d"]), p.number("sample_d"))
     stop = files.read_words(spark, p["stop_a"]) if "stop_a" in p.given else None
     phrases = [] if tokens else _phrases(spark, p, words)
     sentences = mwe.rewrite(conll.read_conll(spark, p["train"]), phrases)
-    rows = examples.examples(sentences, words, contexts, stop, column, seed=1)
+    rows = examples.examples(sentences, words, contexts, stop, column, 1, conll.FIELDS[p.integer("col_ctx_d") - 1], p.flag("use_deprel"))
     noise = vocab.noise_distribution(contexts.select("word", "cn"), p.number("sample_d")).join(contexts.select("word", "idx"), "word")
-    names = [r["word"] for r in words.orderBy("idx").select("word").toLocalIterator()]
+    names, seen = ([r["word"] for r in v.orderBy("idx").select("word").toLocalIterator()] for v in (words, contexts))
     shares, counts = _numbers(noise, "share"), _numbers(words, "cn")
     s = _settings(p, [] if tokens else _relations(spark, p, words), tokens)
-    start = training.restore(spark, names, p["restore"]) if "restore" in p.given else None
-    if tokens:
-        head, old = _model(spark, p)
-        start = start or training.start(counts, len(shares), s)
-        known = old.select("word", "vec").join(words.select("word", F.col("idx").alias("i")), "word").toPandas()
-        for i, v in zip(known["i"], known["vec"], strict=True):
-            start.dep[i], start.assoc[i] = v[: head.dep], v[head.dep : head.dep + head.assoc]
+    if tokens:  # the model's tokens against the contexts that its lemmas were trained with
+        s.dep, s.assoc = head.dep, head.assoc
+        start = training.start_from(words, old, training.restore_contexts(spark, seen, p["restore"]), counts, s)
+    else:
+        start = training.restore(spark, names, p["restore"]) if "restore" in p.given else None
     w = training.train(rows, counts, shares, len(shares), s, start)
     m = training.as_model(spark, words, w)
     if phrases and p.flag("mwe_collapse"):
@@ -154,7 +153,7 @@ def task_train(spark: SparkSession, p: Parameters, tokens: bool = False) -> None
     else:
         model_files.write_model(m, p["model"], (s.dep, s.assoc, 0))
     if "backup" in p.given:
-        training.save(spark, w, names, p["backup"])
+        training.save(spark, w, names, p["backup"], seen)
 
 
 def task_toks(spark: SparkSession, p: Parameters) -> None:

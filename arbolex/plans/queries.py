@@ -491,30 +491,50 @@ def _training(spark, sf):
     return sentences, words, contexts
 
 
-def _train(spark, sf, **settings):
+def _train(sentences, words, contexts, column="lemma", start=None, **settings):
+    """Weights; start gives those to begin with, from counts and settings."""
     from arbolex.operators import training as T
 
-    sentences, words, contexts = _training(spark, sf)
-    examples = X.examples(sentences, words, contexts, seed=11)
+    examples = X.examples(sentences, words, contexts, column=column, seed=11)
     own = words.orderBy("idx").select("cn").toPandas()["cn"].to_numpy()  # vocabularies, not corpora
     noise = V.noise_distribution(contexts, 1e-4).join(contexts.select("word", "idx"), "word").orderBy("idx").select("share").toPandas()["share"].to_numpy()
     s = T.Settings(dep=24, assoc=16, epochs=1, rounds=2, **settings)
-    w = T.train(examples, own, noise, len(noise), s)
-    return T.as_model(spark, words, w)
+    return T.train(examples, own, noise, len(noise), s, start and start(own, s))
 
 
-def _moved(rows):
-    return rows.select("word", F.size("vec").alias("n"), F.exists("vec", lambda x: F.isnan(x) | (F.abs(x) > 3)).alias("bad"))
+def _moved(rows, *more):
+    return rows.select("word", F.size("vec").alias("n"), F.exists("vec", lambda x: F.isnan(x) | (F.abs(x) > 3)).alias("bad"), *more)
 
 
 @query(None)
 def train_embeddings(spark, sf):
-    return _moved(_train(spark, sf))
+    from arbolex.operators import training as T
+
+    sentences, words, contexts = _training(spark, sf)
+    return _moved(T.as_model(spark, words, _train(sentences, words, contexts)))
 
 
 @query(None)
 def toks_train(spark, sf):
-    return _moved(_train(spark, sf, tokens=True))
+    """Tokens start from their lemmas' mixed vectors and are trained against the contexts of the lemmas' training;
+    moved says whether a token's vector has left its start."""
+    from arbolex.operators import training as T
+
+    sentences, words, contexts = _training(spark, sf)
+    lemmas = _train(sentences, words, contexts)
+    pairs = V.token_lemma_counts(sentences)
+    mixed = M.token_vectors(pairs, T.as_model(spark, words, lemmas))
+    tokens = V.with_sampling(V.indexed(V.only(V.at_least(V.token_counts(pairs), MIN), mixed)), 1e-4)
+    begun = []
+
+    def start(counts, s):
+        w = T.start_from(tokens, mixed, lemmas.ctx, counts, s)
+        begun.append(w.dep.copy())
+        return w
+
+    w = _train(sentences, tokens, contexts, "form", start, tokens=True)
+    moved = spark.createDataFrame([(i, bool(x)) for i, x in enumerate((w.dep != begun[0]).any(axis=1))], "idx int, moved boolean")
+    return _moved(T.as_model(spark, tokens, w).join(moved, "idx"), "moved")
 
 
 @query(None)

@@ -63,3 +63,19 @@ def test_unknown_task(capsys):
         cli.Parameters(["-model", "m"])["vocab_l"]
     p = cli.Parameters(["-size_d", "7", "-sub_l", "-3"])
     assert (p.integer("size_d"), p.integer("size_a"), p["sub_l"]) == (7, 40, "-3")
+
+
+def test_tokens_are_trained_against_restored_contexts(spark, corpus):
+    run(corpus, "fit", fit_input="@raw.conll", train="@fit2")
+    run(corpus, "vocab", train="@fit2", vocab_l="@l2", vocab_t="@t2", tl_map="@tl2", vocab_d="@d2", min__count_l=5, min__count_t=5, min__count_d=5)
+    given = {"train": "@fit2", "vocab_d": "@d2", "model": "@m2", "size_d": 4, "size_a": 3, "iter": 3, "alpha_d": 0.25, "sample_w": 0, "sample_d": 0}
+    run(corpus, "train", vocab_l="@l2", backup="@w2", **given)
+    run(corpus, "toks", model="@m2", tl_map="@tl2")
+    before = {r.word: r.vec for r in models.read_model(spark, f"{corpus}/m2")[1].collect()}
+    with pytest.raises(SystemExit):
+        run(corpus, "toks_train", vocab_t="@t2", **given)
+    run(corpus, "toks_train", vocab_t="@t2", restore="@w2", **given)
+    after = {r.word: r.vec for r in models.read_model(spark, f"{corpus}/m2")[1].collect()}
+    assert set(after) == set(before) and len(after) == 6
+    for word, v in before.items():
+        assert not np.allclose(after[word][:4], v[:4], atol=1e-7) and np.allclose(after[word][4:], v[4:])

@@ -77,3 +77,8 @@ def test_streaming_vocabulary(spark, tmp_path):
         assert {tuple(r) for r in spark.sql("SELECT * FROM lemmas").collect()} == {("кот", 4), ("пёс", 1)}
     finally:
         stream.stop()
+
+
+def test_token_training_moves_tokens(spark):
+    rows = plans.QUERIES["toks_train"](spark, DATA).collect()
+    assert rows and not any(r.bad for r in rows) and sum(r.moved for r in rows) > len(rows) / 2
