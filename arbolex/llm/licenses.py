@@ -3,13 +3,19 @@
 All rolling hashes of word k-grams of the documents are joined, in Spark, to the templates' positions (a
 fixed table of a few hundred rows, broadcast). A match votes for the diagonal document position - template
 position; votes are summed by (document, template, diagonal) before the shuffle. Neighbouring diagonals of
-a long template, which words put in or left out cause, are merged. The spans are then verified word by
-word in the texts; only texts that hold a template's gram go through that shuffle.
+a long template, which words put in or left out cause, are merged. Votes for passages only propose spans, by
+one gram of two words: of SHARE of a passage's words, two at least are left side by side however the changed
+ones are scattered. The spans are then verified word by word in the texts; only texts that hold a gram of a
+template go through that shuffle. So that common pairs of words do not count, passages' grams are looked for
+only where a window of WIDTH holds enough words of one passage, or where RARE_K words of one stand together.
 """
 
 from __future__ import annotations
 
+import bisect
 import difflib
+import functools
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -46,12 +52,52 @@ PASSAGES = {
 }
 #: (words, label, base, exact)
 TEMPLATES = [(p.split(), label, True, True) for p, label in BASE.items()] + [(p.split(), label, False, True) for p, label in PHRASES.items() if len(p.split()) > 1] + [(p.split(), label, False, False) for label, ps in PASSAGES.items() for p in ps]
-#: Words of a gram for exact phrases and for passages; how far merged diagonals may lie apart; share of a passage's words that must be found.
-PHRASE_K, PASSAGE_K, APART, SHARE = 2, 4, 8, 0.7
+#: Words of a gram for exact phrases and for passages, and of one that is rare; how far merged diagonals may lie apart; share of a passage's words that must be found.
+PHRASE_K, PASSAGE_K, RARE_K, APART, SHARE = 2, 2, 4, 8, 0.7
+#: Of a passage's words: how many texts' words it may lie among, as a factor.
+WIDTH = 1.5
 _WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 _FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def _limits(template: int) -> tuple[int, int]:
+    """Least number of a passage's words, and the width of the window that they stand in."""
+    n = len(TEMPLATES[template][0])
+    return next(m for m in range(n + 1) if m / n >= SHARE), int(WIDTH * n)
+
+
+@functools.cache
+def _passages() -> tuple[np.ndarray, list[tuple[np.ndarray, int, int]], np.ndarray]:
+    """Hashes of the passages' words in order; by passage which of them it has, and its limits; hashes of RARE_K words."""
+    hashes = []
+    for words, _, _, exact in TEMPLATES:
+        data, bounds = np.frombuffer(" ".join(words).encode(), np.uint8), np.array([0, len(" ".join(words))])
+        starts, ends, _ = textarrays.word_spans(data, bounds, textarrays.NOT_ALNUM)
+        hashes.append(np.zeros(0, np.uint64) if exact else textarrays.span_hashes(data, starts, ends))
+    known = np.unique(np.concatenate(hashes))
+    each = [(np.append(np.isin(known, h), False), *_limits(i)) for i, h in enumerate(hashes) if len(h)]
+    return known, each, np.unique(np.concatenate([textarrays.shingles(h, np.array([0, len(h)]), RARE_K)[0] for h in hashes if len(h)]))
+
+
+def _plausible(words: np.ndarray) -> np.ndarray:
+    """Whether words lie where a passage may be; all where one is."""
+    known, each, rare = _passages()
+    n = len(words)
+    at = np.minimum(np.searchsorted(known, words), len(known) - 1)
+    at[known[at] != words] = len(known)
+    change = np.zeros(n + 1, np.int32)
+    for has, need, width in each:
+        sums = np.concatenate([[0], np.cumsum(has[at], dtype=np.int32)])
+        first = np.flatnonzero(sums[np.minimum(np.arange(n) + width, n)] - sums[:-1] >= need)
+        np.add.at(change, first, 1)
+        np.add.at(change, np.minimum(first + width, n), -1)
+    if n >= RARE_K:
+        first = np.flatnonzero(np.isin(textarrays.shingles(words, np.array([0, n]), RARE_K)[0], rare))
+        np.add.at(change, first, 1)
+        np.add.at(change, first + RARE_K, -1)
+    return np.cumsum(change[:-1]) > 0
+
+
 def _grams(texts: pa.Array) -> Iterator[tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]]:
     """By chunks: words' bounds by row, and for PHRASE_K and PASSAGE_K the hashes at the first word of each gram."""
     for _, bounds, data in textarrays.chunks(texts):
@@ -60,11 +106,11 @@ def _grams(texts: pa.Array) -> Iterator[tuple[np.ndarray, list[tuple[np.ndarray,
         words = textarrays.span_hashes(data, starts, ends)
         n = len(words)
         out = []
-        for k in (PHRASE_K, PASSAGE_K):
+        for j, k in enumerate((PHRASE_K, PASSAGE_K)):
             grams, _ = textarrays.shingles(words, np.array([0, n]), k) if n >= k else (np.zeros(0, np.uint64), None)
             whole = np.searchsorted(rows, np.arange(len(grams)), "right") == np.searchsorted(rows, np.arange(len(grams)) + k - 1, "right")
-            at = np.flatnonzero(whole)
-            out.append((at, textarrays.mix(grams[at] ^ np.uint64(k))))
+            at = np.flatnonzero(whole & _plausible(words)[: len(grams)] if j else whole)
+            out.append((at, textarrays.mix(grams[at] ^ np.uint64(2 * k + j))))
         yield rows, out
 
 
@@ -98,7 +144,7 @@ def _rolling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """__k1, __k2, spans array<struct<template, start, end, votes>>: the candidates that voting leaves."""
+    """__k1, __k2, spans array<struct<template, start, end, votes>>: the candidates that voting proposes."""
     spark = docs.sparkSession
     grams = spark.createDataFrame(_template_grams(), "h long, template int, at int")
     sizes = spark.createDataFrame([(i, len(w), e) for i, (w, _, _, e) in enumerate(TEMPLATES)], "template int, size int, exact boolean")
@@ -112,8 +158,8 @@ def spans(docs: DataFrame) -> DataFrame:
     order = Window.partitionBy(*KEY, "template").orderBy("diagonal")
     new = (F.col("diagonal") - F.lag("diagonal").over(order) > APART) | F.lag("diagonal").over(order).isNull()
     loose = loose.withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(order))
-    loose = loose.groupBy(*KEY, "template", "run").agg(F.min("start").alias("start"), (F.max("end") + PASSAGE_K).alias("end"), F.sum("votes").alias("votes"), F.first("size").alias("size"))
-    loose = loose.where(f"2 * votes >= size - {PASSAGE_K - 1}").select(*KEY, "template", "start", "end", "votes")
+    loose = loose.groupBy(*KEY, "template", "run").agg(F.min("start").alias("start"), (F.max("end") + PASSAGE_K).alias("end"), F.sum("votes").alias("votes"))
+    loose = loose.select(*KEY, "template", "start", "end", "votes")
     return exact.unionByName(loose).groupBy(*KEY).agg(F.array_sort(F.collect_set(F.struct("template", "start", "end", "votes"))).alias("spans"))
 
 
@@ -136,17 +182,103 @@ def _suspects(hashes: np.ndarray):
     return run
 
 
+@functools.cache
+def _marks(template: int) -> dict[str, int]:
+    """Of each word of a template its places, as bits."""
+    out: dict[str, int] = {}
+    for i, w in enumerate(TEMPLATES[template][0]):
+        out[w] = out.get(w, 0) | 1 << i
+    return out
+
+
+def _common(words: list[str], template: int) -> list[int]:
+    """How many of the template's words stand in order in words[: i + 1], for each i: longest common subsequences."""
+    marks, n = _marks(template), len(TEMPLATES[template][0])
+    v = full = (1 << n) - 1
+    out, count = [], 0
+    for w in words:
+        if u := v & marks.get(w, 0):
+            v = ((v + u) | (v - u)) & full
+            count = n - v.bit_count()
+        out.append(count)
+    return out
+
+
+def copies(words: list[str], template: int, a: int, b: int) -> list[tuple[int, int, float]]:
+    """The copies of a passage in words[a:b], one after the other: first word, end, and the share of its words that
+    stand there in order, in a window of WIDTH.
+
+    The next copy holds the shortest of the windows with SHARE of the words that end first. It goes as far beyond as
+    words of the passage outnumber others."""
+    need, width = _limits(template)
+    marks, n, out = _marks(template), len(TEMPLATES[template][0]), []
+    sums = list(itertools.accumulate((w in marks for w in words[a:b]), initial=0))
+    starts = [s for s in range(a, b) if words[s] in marks and sums[min(s + width, b) - a] - sums[s - a] >= need]
+    while starts:
+        core = None
+        for s in starts:
+            if core and s + need > core[0]:
+                break
+            common = _common(words[s : min(s + width, b)], template)
+            if common[-1] >= need:
+                e = s + bisect.bisect_left(common, need) + 1
+                core = (e, s) if core is None or e <= core[0] else core
+        if core is None:
+            break
+        e, s = core
+        best = None
+        for t in range(max(a, e - width), s + 1):
+            if words[t] in marks:
+                common = _common(words[t : min(t + width, b)], template)
+                for i in range(e - t - 1, len(common)):
+                    rank = (2 * common[i] - (i + 1), common[i], t)
+                    best = max(best, (rank, t + i + 1)) if best else (rank, t + i + 1)
+        (_, found, t), end = best
+        out.append((t, end, found / n))
+        a = end
+        starts = [s for s in starts if s >= end]
+    return out
+
+
 def verify(words: list[str], template: int, start: int, end: int) -> tuple[int, int, float] | None:
     """The span (first word, end) and the share of the template's words that stand there in order; None if too few."""
     wanted, _, _, exact = TEMPLATES[template]
     if exact:
         return (start, start + len(wanted), 1.0) if words[start : start + len(wanted)] == wanted else None
     a, b = max(0, start - APART), min(len(words), end + APART)
+    if _common(words[a:b], template)[-1] < SHARE * len(wanted):
+        return None
     blocks = [x for x in difflib.SequenceMatcher(None, words[a:b], wanted, autojunk=False).get_matching_blocks() if x.size]
     share = sum(x.size for x in blocks) / len(wanted)
     return (a + blocks[0].a, a + blocks[-1].a + blocks[-1].size, share) if share >= SHARE else None
 
 
+def found_in(words: list[str], spans: list[dict]) -> list[tuple[int, int, int, float]]:
+    """(start, end, template, share) of what stands in the spans. Copies of a passage are looked for in spans with a
+    window before and behind; of wider ones, where words were put in, in what voting has merged."""
+    out, regions = set(), {}
+    for s in spans:
+        if TEMPLATES[s["template"]][3]:
+            if got := verify(words, s["template"], s["start"], s["end"]):
+                out.add((got[0], got[1], s["template"], got[2]))
+        else:
+            regions.setdefault(s["template"], []).append((s["start"], s["end"]))
+    for i, places in regions.items():
+        _, width = _limits(i)
+        merged: list[list[int]] = []
+        for start, end in sorted(places):
+            a, b = max(0, start - width), min(len(words), end + width)
+            if merged and a <= merged[-1][1]:
+                merged[-1][1] = max(b, merged[-1][1])
+            else:
+                merged.append([a, b])
+        narrow = [x for a, b in merged for x in copies(words, i, a, b)]
+        wide = [got for start, end in places if (got := verify(words, i, start, end))]
+        out |= {(a, b, i, share) for a, b, share in narrow}
+        out |= {(a, b, i, share) for a, b, share in wide if all(y <= a or b <= x for x, y, _ in narrow)}
+    return sorted(out)
+
+
 _FOUND = "array<struct<label:string,start:int,end:int,base:boolean,score:double>>"
 _FOUND_ARROW = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_()), ("score", pa.float64())]))
 
@@ -156,11 +288,9 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for text, some in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
             found = []
-            words = _WORD.findall(text.translate(_FOLD)) if some else []
-            for s in some or ():
-                if got := verify(words, s["template"], s["start"], s["end"]):
-                    _, label, base, _ = TEMPLATES[s["template"]]
-                    found.append({"label": label, "start": got[0], "end": got[1], "base": base, "score": got[2]})
+            for start, end, template, share in found_in(_WORD.findall(text.translate(_FOLD)), some) if some else ():
+                _, label, base, _ = TEMPLATES[template]
+                found.append({"label": label, "start": start, "end": end, "base": base, "score": share})
             out.append(sorted(found, key=lambda x: (x["start"], x["end"], x["label"])))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array(out, _FOUND_ARROW)], ["doc_id", "n_words", "found"])
 
@@ -169,7 +299,9 @@ def license_scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words long, found array<struct<label, start, end (words from 0), base, score>>: one row for each row of docs.
 
     Words: A-Z lower-cased, then runs of 0-9, a-z and characters beyond ASCII. Phrases must stand word for
-    word, and each place counts; passages need SHARE of their words in order, score says how many.
+    word, and each place counts; passages need SHARE of their words in order in a window of WIDTH, two of them side
+    by side; score says how many. Of passages with more words put in, APART at a place, only those are found of
+    which most words stand in long runs.
 
     Null or empty text: no words, nothing found. Null and repeated doc_ids, and rows that repeat: each row
     by itself. Empty table: no rows. Other columns are left out. Very long texts are whole.

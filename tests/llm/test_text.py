@@ -1,5 +1,7 @@
 """Near-duplicates, licences, quality rules and token operators against brute force."""
 
+import itertools
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -270,3 +272,40 @@ def test_words_and_shingles(rows):
         h = textarrays.span_hashes(data, starts, ends)
         said = [bytes(data[a:b]) for a, b in zip(starts, ends, strict=True)]
         assert len({*zip(said, h.tolist(), strict=True)}) == len({*said}) == len({*h.tolist()})
+
+
+def common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        row = [0, *itertools.accumulate(range(len(b)), lambda left, j: max(left, row[j + 1], row[j] + (x == b[j])), initial=0)][1:]
+    return row[-1]
+
+
+def test_passages_with_scattered_edits(spark):
+    """Every passage with SHARE of its words left is found, wherever the edits are; none with fewer."""
+    r, rows, wanted = random.Random(5), [], {}
+    for words, label, _, exact in licenses.TEMPLATES:
+        if exact:
+            continue
+        n = len(words)
+        for trial in range(60):
+            changed = set(range(trial % 4, n, 4 + trial % 3)) if trial < 12 else set(r.sample(range(n), r.randrange(n // 2)))
+            text = [w for i, w in enumerate(words) for w in ([f"zz{i}"] * (trial % 2) if i in changed else [w])]
+            for _ in range(trial % 3):
+                text.insert(r.randrange(len(text) + 1), "zzz")
+            wanted[len(rows)] = (label, common(text, words) / n >= licenses.SHARE)
+            rows.append((len(rows), " ".join(["zz"] * (trial % 5) + text + ["zz"] * 3)))
+    got = {x.doc_id: {f.label for f in x.found if not f.base and f.score < 1.01} for x in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    passages = {label for label in licenses.PASSAGES}
+    assert [i for i, (label, yes) in wanted.items() if yes and label not in got[i]] == []
+    exact = {i: {label for p, label in licenses.PHRASES.items() if f" {p} " in f" {rows[i][1]} "} for i in wanted}
+    assert [i for i, (label, yes) in wanted.items() if not yes and label in got[i] - exact[i] and label in passages] == []
+
+
+def test_passages_one_after_the_other():
+    words = licenses.PASSAGES["bsd"][0].split()
+    i = next(i for i, t in enumerate(licenses.TEMPLATES) if t[1] == "bsd" and not t[3])
+    edited = [w if j % 6 else "zz" for j, w in enumerate(words)]
+    text = ["zz"] * 5 + edited + words + ["zz"] + words
+    n = len(words)
+    assert [(a, b) for a, b, _ in licenses.copies(text, i, 0, len(text))] == [(6, 5 + n), (5 + n, 5 + 2 * n), (6 + 2 * n, 6 + 3 * n)]
