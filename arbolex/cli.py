@@ -126,12 +126,12 @@ def _numbers(rows: DataFrame, column: str) -> np.ndarray:
 def task_train(spark: SparkSession, p: Parameters, tokens: bool = False) -> None:
     column = "form" if tokens else "lemma"
     head, old = _model(spark, p) if tokens else (None, None)
-    words = vocab.with_sampling(files.read_vocab(spark, p["vocab_t" if tokens else "vocab_l"], old), p.number("sample_w"))
+    words = files.read_vocab(spark, p["vocab_t" if tokens else "vocab_l"], old)
     contexts = vocab.with_sampling(files.read_vocab(spark, p["vocab_d"]), p.number("sample_d"))
     stop = files.read_words(spark, p["stop_a"]) if "stop_a" in p.given else None
     phrases = [] if tokens else _phrases(spark, p, words)
     sentences = mwe.rewrite(conll.read_conll(spark, p["train"]), phrases)
-    rows = examples.examples(sentences, words, contexts, stop, column, 1, conll.FIELDS[p.integer("col_ctx_d") - 1], p.flag("use_deprel"))
+    rows = examples.draws(sentences, words, contexts, stop, column, conll.FIELDS[p.integer("col_ctx_d") - 1], p.flag("use_deprel"), p.number("sample_w"), p.number("sample_a"))
     noise = vocab.noise_distribution(contexts.select("word", "cn"), p.number("sample_d")).join(contexts.select("word", "idx"), "word")
     names, seen = ([r["word"] for r in v.orderBy("idx").select("word").toLocalIterator()] for v in (words, contexts))
     shares, counts = _numbers(noise, "share"), _numbers(words, "cn")

@@ -483,10 +483,10 @@ def punctuation_vectors(spark, sf):
 
 
 def _training(spark, sf):
-    """Sentences (lines of documents), their vocabularies and examples, with subsampling."""
+    """Sentences (lines of documents), their vocabularies; contexts with their sampling."""
     docs = _docs(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "text"))
     sentences = parsed(docs.select((F.col("doc_id") * 1_000_000 + F.col("i")).alias("doc_id"), "text"))
-    words = V.with_sampling(V.indexed(V.at_least(V.lemma_counts(sentences), MIN)), 1e-4)
+    words = V.indexed(V.at_least(V.lemma_counts(sentences), MIN))
     contexts = V.with_sampling(V.indexed(V.at_least(V.context_counts(sentences), MIN)), 1e-4)
     return sentences, words, contexts
 
@@ -495,7 +495,7 @@ def _train(sentences, words, contexts, column="lemma", start=None, **settings):
     """Weights; start gives those to begin with, from counts and settings."""
     from arbolex.operators import training as T
 
-    examples = X.examples(sentences, words, contexts, column=column, seed=11)
+    examples = X.draws(sentences, words, contexts, column=column, rounds=2, seed=11)
     own = words.orderBy("idx").select("cn").toPandas()["cn"].to_numpy()  # vocabularies, not corpora
     noise = V.noise_distribution(contexts, 1e-4).join(contexts.select("word", "idx"), "word").orderBy("idx").select("share").toPandas()["share"].to_numpy()
     s = T.Settings(dep=24, assoc=16, epochs=1, rounds=2, **settings)
@@ -524,7 +524,7 @@ def toks_train(spark, sf):
     lemmas = _train(sentences, words, contexts)
     pairs = V.token_lemma_counts(sentences)
     mixed = M.token_vectors(pairs, T.as_model(spark, words, lemmas))
-    tokens = V.with_sampling(V.indexed(V.only(V.at_least(V.token_counts(pairs), MIN), mixed)), 1e-4)
+    tokens = V.indexed(V.only(V.at_least(V.token_counts(pairs), MIN), mixed))
     begun = []
 
     def start(counts, s):

@@ -145,3 +145,32 @@ def test_schedules_and_attraction():
     assert b[0] > -1 and b[1] == -2 and a.tolist() == [1, -1]
     training.attract_euclid(a, b, 0.0, 0.5)
     assert np.allclose(a, a) and abs(a[1] + 1.5) < 1e-9
+
+
+def test_examples_are_drawn_anew(spark):
+    """Associations have a threshold of their own, draws differ by step, and words are kept less late in training."""
+    word = lambda w, i: (str(i), w, w, "_", "_", "_", str(i - 1), "r", "_", "_")
+    fields = "id form lemma upos xpos feats head deprel deps misc".split()
+    sentences = spark.createDataFrame([(i, [word("a", 1), word("b", 2)]) for i in range(2000)], f"sent_id long, toks array<struct<{','.join(f'{f}:string' for f in fields)}>>")
+    words = spark.createDataFrame([("a", 0, 2000), ("b", 1, 2000)], "word string, idx int, cn long")
+    contexts = spark.createDataFrame([("a>r", 0, 1.0)], "word string, idx int, p double")
+    draw = examples.draws(sentences, words, contexts, sample_w=0.0, sample_a=1e-3)
+    rows = draw(0, 0.0).collect()
+    assert len(rows) == 4000 and 0 < sum(len(r.assoc) for r in rows) < 400
+    draw = examples.draws(sentences, words, contexts, sample_w=0.05, sample_a=0.0)
+    kept = [{(r.sent_id, r.pos) for r in draw(*x).collect()} for x in ((0, 0.0), (1, 0.2), (2, 0.9))]
+    assert kept[0] != kept[1] and abs(len(kept[0]) - len(kept[1])) < 200 and len(kept[2]) < len(kept[0]) / 2
+    halves = examples.draws(sentences, words, contexts, sample_w=0.0, sample_a=0.0, rounds=2)
+    parts = [{(r.sent_id, r.pos) for r in halves(i, 0.0).collect()} for i in (0, 1)]
+    assert not parts[0] & parts[1] and len(parts[0] | parts[1]) == 4000
+
+
+def test_saturated_products_shrink_the_space(spark, monkeypatch):
+    df = spark.createDataFrame([(i, 0, 0, [0], []) for i in range(20)], "sent_id long, pos int, word int, dep array<int>, assoc array<int>").coalesce(2)
+    s = training.Settings(dep=4, assoc=2, epochs=1, negative_dep=1)
+    full = lambda: training.Weights(*(np.full((1, n), 2.9, np.float32) for n in (4, 4, 2)))
+    monkeypatch.setattr(training, "SATURATED", 41)
+    as_is = training.train(df, np.array([20]), np.array([1.0]), 1, s, full())
+    monkeypatch.setattr(training, "SATURATED", 40)  # 20 of contexts, 20 of noise
+    shrunk = training.train(df, np.array([20]), np.array([1.0]), 1, s, full())
+    assert np.allclose(shrunk.dep, 0.9 * as_is.dep, atol=1e-4) and np.allclose(shrunk.ctx, 0.8 * as_is.ctx, atol=1e-4) and np.allclose(shrunk.assoc, as_is.assoc)
