@@ -177,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees | Non
     rows = docs.select("doc_id", F.col("text").alias("__text")).join(F.broadcast(few), "doc_id").select("__quality", "__text")
     got = rows.mapInArrow(_counted, f"__quality {dict(few.dtypes)['__quality']}, {_TYPES}").limit(2 * sample).toPandas()
     y = (got["__quality"].to_numpy() > 0).astype(float)
-    if len(y) < 40 or y.min() == y.max():
+    if not len(y) or y.min() == y.max():
         return None
     x = features(got[list(COUNTS)].to_numpy())
     order = np.lexsort([*x.T, y])  # sums in one order, however the rows came

@@ -309,3 +309,11 @@ def test_passages_one_after_the_other():
     text = ["zz"] * 5 + edited + words + ["zz"] + words
     n = len(words)
     assert [(a, b) for a, b, _ in licenses.copies(text, i, 0, len(text))] == [(6, 5 + n), (5 + n, 5 + 2 * n), (6 + 2 * n, 6 + 3 * n)]
+
+
+def test_few_labels_count(spark):
+    """Twelve labelled documents, most of them bad: nothing is kept by their number alone."""
+    df = spark.createDataFrame([(i, " ".join(f"word{i}x{j}" for j in range(60))) for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 3)) for i in range(12)], "doc_id long, quality int")
+    rows = quality.quality_rules(df, labels).collect()
+    assert not any(r.base_failed or r.kept for r in rows) and all(abs(r.score - 0.25) < 0.05 for r in rows)
