@@ -134,3 +134,11 @@ def test_rewriting(spark):
     df = spark.createDataFrame([(1, rows), (2, rows[3:4])], f"sent_id long, toks array<struct<{', '.join(f'{f}: string' for f in FIELDS)}>>")
     got = {r.sent_id: [t.lemma for t in r.toks] for r in rewrite(df, list(p for ps in r.by_word.values() for p in ps)).collect()}
     assert got == {1: ["мой", "точка_зрения", "ясный_взгляд", "."], 2: ["ясный"]}
+
+
+def test_sentences_with_null_lemmas_stay(spark):
+    rows = [(1, [("a",), (None,)]), (2, [("b",), (None,)]), (3, [("b",)])]
+    names = "id form lemma upos xpos feats head deprel deps misc".split()
+    rows = [(i, [tuple({"id": str(j + 1), "form": "f", "lemma": t[0], "head": str(j)}.get(n, "_") for n in names) for j, t in enumerate(toks)]) for i, toks in rows]
+    df = spark.createDataFrame(rows, f"sent_id long, toks array<struct<{','.join(f'{n}:string' for n in names)}>>")
+    assert sorted(r.sent_id for r in rewrite(df, parse_list(["a_b\t[a[b]]"])).collect()) == [1, 2, 3]
