@@ -275,7 +275,13 @@ def task_selftest(spark: SparkSession, p: Parameters) -> None:
     shifts.show()
     evaluation.histogram(m, shifts.first()["dim"]).orderBy("bin").show(300)
     for name in sorted(p.given):
-        if name.startswith("test_"):  # -test_graded_NAME file or -test_binary_NAME file
+        if name.startswith("test_probe"):  # -test_probe_NAME file: pairs that should be near, or far
+            given = files.read_pairs(spark, p[name]).withColumn("list", F.lit(name))
+            rows = similarity.pairs(given, m, head.sizes, p.number("a_ratio"), ("dep", "assoc"), None)
+            for space in ("dep", "assoc"):
+                print(space)
+                evaluation.probe_report(rows.where(F.col(space).isNotNull()).withColumn("usim", F.col(space))).show(100, False)
+        elif name.startswith("test_"):  # -test_graded_NAME file or -test_binary_NAME file
             kind = "graded" if name.startswith("test_graded") else "binary"
             print(name, evaluation.suite(files.read_test(spark, p[name], p.flag("st_yo")), m, head.sizes, p.number("a_ratio"), kind))
 

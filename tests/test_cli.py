@@ -79,3 +79,13 @@ def test_tokens_are_trained_against_restored_contexts(spark, corpus):
     assert set(after) == set(before) and len(after) == 6
     for word, v in before.items():
         assert not np.allclose(after[word][:4], v[:4], atol=1e-7) and np.allclose(after[word][4:], v[4:])
+
+
+def test_selftest_reports_probe_lists(spark, tmp_path, capsys):
+    m = spark.createDataFrame([(0, "а", [1.0, 0.0, 1.0]), (1, "б", [1.0, 0.0, -1.0]), (2, "в", [0.0, 1.0, 1.0])], "idx int, word string, vec array<float>")
+    models.write_model(m, f"file://{tmp_path}/p", (2, 1, 0))
+    (tmp_path / "near.csv").write_text("а,б,\nа,в,\nа,нет,\n", encoding="utf-8")
+    run(f"file://{tmp_path}", "selftest", model="@p", test_probe_near="@near.csv")
+    said = capsys.readouterr().out.split("dep\n")[1]
+    dep, assoc = said.split("assoc\n")
+    assert "test_probe_near" in dep and "|0.5 " in dep and "а б" in dep and "|-1.0 " in assoc
