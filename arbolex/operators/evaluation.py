@@ -15,11 +15,6 @@ def deduplicated(test: DataFrame) -> DataFrame:
     return test.groupBy("word1", "word2").agg(F.max_by("sim", "line").alias("sim"))
 
 
-def average_rank(column: str):
-    """Rank by falling value; equals share the mean of their ranks."""
-    return F.rank().over(Window.orderBy(F.desc(column))) + (F.count("*").over(Window.partitionBy(column)) - 1) / 2.0
-
-
 def pearson(rows: DataFrame) -> DataFrame:
     return rows.agg(F.corr(F.col("sim").cast("double"), F.col("usim").cast("double")).alias("value"))
 

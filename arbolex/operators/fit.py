@@ -7,6 +7,7 @@ holds one sentence at a time.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,23 +27,31 @@ RELATIONS = [
 CHAINED = ("сочин", "соч-союзн", "_")
 
 
-def _marked(form: Column, deprel: Column) -> Column:
-    return F.when(form.isin(PUNCTUATION), "PUNC").otherwise(deprel)
+def cleaned(toks: Column, exclude_numbers: bool) -> Column:
+    """The tokens after all rules that need no other token: case, punctuation, unknown lemmas, numbers, initials, relations.
 
+    Each step names what later steps read more than once, so that nothing is worked out again for each use."""
 
-def cleaned(t: Column, exclude_numbers: bool) -> Column:
-    """One token after all rules that need no other token: case, punctuation, unknown lemmas, numbers, initials, relations."""
-    form, lemma, feats = F.lower(t["form"]), t["lemma"], t["feats"]
-    deprel = _marked(form, t["deprel"])
-    lemma = F.when(lemma.isin("<unknown>", "@card@") | (lemma.isin(PUNCTUATION) & ~form.isin(PUNCTUATION)), "_").otherwise(lemma)
-    if exclude_numbers:
-        number, punc = lemma.isin(NUMERIC_LEMMAS), deprel == "PUNC"
-        form, lemma = F.when(punc, form).when(number, lemma).otherwise(fold_number(form)), F.when(punc | number, lemma).otherwise(fold_number(lemma))
-    initial = form.rlike(f"^[{INITIALS}]$") & (F.length(lemma) == 1) & feats.startswith("Np")
-    lemma = F.when(initial, F.concat(lemma, F.lit("_NP"))).otherwise(lemma)
-    deprel = F.when(deprel.isin(RELATIONS), deprel).otherwise("_")
-    new = {"form": form, "lemma": lemma, "deprel": deprel}
-    return F.struct(*[new.get(f, t[f]).alias(f) for f in FIELDS])
+    def marked(t):
+        form = F.lower(t["form"])
+        mark = form.isin(PUNCTUATION)
+        return F.struct(t.alias("t"), form.alias("form"), mark.alias("mark"), F.when(t["lemma"].isin("<unknown>", "@card@") | (~mark & t["lemma"].isin(PUNCTUATION)), "_").otherwise(t["lemma"]).alias("lemma"))
+
+    def numbered(x):
+        punc, number = x["mark"] | F.coalesce(x["t"]["deprel"] == "PUNC", F.lit(False)), x["lemma"].isin(NUMERIC_LEMMAS)
+        form = F.when(punc, x["form"]).when(number, x["lemma"]).otherwise(fold_number(x["form"]))
+        lemma = F.when(punc | number, x["lemma"]).otherwise(fold_number(x["lemma"]))
+        return F.struct(x["t"].alias("t"), form.alias("form"), x["mark"].alias("mark"), lemma.alias("lemma"))
+
+    def named(x):
+        t = x["t"]
+        initial = (F.length(x["form"]) == 1) & (F.length(x["lemma"]) == 1) & F.lit(INITIALS).contains(x["form"]) & t["feats"].startswith("Np")
+        deprel = F.when(x["mark"], "PUNC").when(t["deprel"].isin(RELATIONS), t["deprel"]).otherwise("_")
+        new = {"form": x["form"], "lemma": F.when(initial, F.concat(x["lemma"], F.lit("_NP"))).otherwise(x["lemma"]), "deprel": deprel}
+        return F.struct(*[new.get(f, t[f]).alias(f) for f in FIELDS])
+
+    steps = F.transform(toks, marked)
+    return F.transform(F.transform(steps, numbered) if exclude_numbers else steps, named)
 
 
 class Sentence:
@@ -166,20 +175,29 @@ class Sentence:
 
 
 _PUNCTUATION = frozenset(PUNCTUATION)
+_NUMBER = re.compile("[0-9]+")
 
 
 #: What the rules read; of these they change head and deprel.
 _READ = ("id", "form", "lemma", "feats", "head", "deprel")
 
 
+def _in_order(ids: list[str]) -> bool:
+    """Whether the ids begin with the numbers 1, 2, ..."""
+    return all(x == str(i) or (m := _NUMBER.match(x)) is not None and m[0] == str(i) for i, x in enumerate(ids, 1))
+
+
 def _rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lists = batch.column("toks")
         columns = {f: lists.values.field(f).fill_null("") for f in FIELDS}
         read = [columns[f].to_pylist() for f in _READ]
-        order, ends, new = [], [0], {"id": [], "head": [], "deprel": []}
-        for a, b in zip(lists.offsets[:-1].to_pylist(), lists.offsets[1:].to_pylist(), strict=True):
+        order, ends, kept, new = [], [0], [], {"id": [], "head": [], "deprel": []}
+        for row, (a, b) in enumerate(zip(lists.offsets[:-1].to_pylist(), lists.offsets[1:].to_pylist(), strict=True)):
+            if a == b or not _in_order(read[0][a:b]):
+                continue
             toks = Sentence([dict(zip(_READ, t, strict=True)) for t in zip(*(c[a:b] for c in read), strict=True)]).rewrite()
+            kept.append(row)
             order += [*range(a, b), *[None] * (len(toks) - (b - a))]  # stubs come last, and have no row of their own yet
             ends.append(len(order))
             for f, out in new.items():
@@ -187,13 +205,12 @@ def _rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = pa.array(order, pa.int64())
         made = [pa.array(new[f], pa.string()) if f in new else columns[f].take(places).fill_null("STUB" if f == "misc" else "_") for f in FIELDS]
         toks = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(made, list(FIELDS)))
-        yield pa.RecordBatch.from_arrays([batch.column("sent_id"), toks], ["sent_id", "toks"])
+        yield pa.RecordBatch.from_arrays([batch.column("sent_id").take(pa.array(kept, pa.int64())), toks], ["sent_id", "toks"])
 
 
 def fit(sentences: DataFrame, exclude_numbers: bool = False) -> DataFrame:
     """sent_id, toks after all rules, in their order. Sentences whose ids are not 1..n go."""
-    good = F.forall(F.zip_with("toks", F.sequence(F.lit(1), F.size("toks")), lambda t, i: F.regexp_extract(t["id"], "^[0-9]+", 0) == i.cast("string")), lambda ok: ok)
-    rows = sentences.where((F.size("toks") > 0) & good).select("sent_id", F.transform("toks", lambda t: cleaned(t, exclude_numbers)).alias("toks"))
+    rows = sentences.select("sent_id", cleaned(F.col("toks"), exclude_numbers).alias("toks"))
     fields = ", ".join(f"{f}: string" for f in FIELDS)
     kind = dict(sentences.dtypes)["sent_id"]
-    return rows.mapInArrow(_rewritten, f"sent_id {kind}, toks array<struct<{fields}>>")
+    return rows.where("toks IS NOT NULL").mapInArrow(_rewritten, f"sent_id {kind}, toks array<struct<{fields}>>")

@@ -15,24 +15,27 @@ PUNC, NONE, STUB = "PUNC", "_", "STUB"
 
 
 def tokens(sentences: DataFrame) -> DataFrame:
-    """sent_id, pos (from 1), and the fields of each token."""
+    """sent_id, pos (from 1), and the fields of each token. Rows that are tokens already, as those of views.flat, stay."""
+    if "toks" not in sentences.columns:
+        return sentences
     return sentences.select("sent_id", F.posexplode("toks").alias("__i", "t")).select("sent_id", (F.col("__i") + 1).alias("pos"), "t.*")
 
 
-def lemma_counts(sentences: DataFrame) -> DataFrame:
-    """word, cn: lemmas but those of punctuation and missing ones."""
-    words = sentences.select(F.explode(F.transform(F.filter("toks", lambda t: (t["deprel"] != PUNC) & (t["lemma"] != NONE)), lambda t: t["lemma"])).alias("word"))
-    return words.groupBy("word").agg(F.count("*").alias("cn"))
+def _worded(sentences: DataFrame) -> DataFrame:
+    """form, lemma, n of the tokens that are words. Rows may be sentences, tokens, or tokens counted before (n)."""
+    rows = sentences.select(F.explode("toks").alias("t")).select("t.form", "t.lemma", "t.deprel") if "toks" in sentences.columns else sentences
+    n = F.col("n") if "n" in rows.columns else F.lit(1)
+    return rows.where((F.col("deprel") != PUNC) & (F.col("lemma") != NONE)).select("form", "lemma", n.alias("n"))
 
 
-def _worded(sentences: DataFrame) -> DataFrame:
-    kept = F.filter("toks", lambda t: (t["deprel"] != PUNC) & (t["form"] != NONE) & (t["lemma"] != NONE))
-    return sentences.select(F.explode(F.transform(kept, lambda t: F.struct(t["form"].alias("form"), t["lemma"].alias("lemma")))).alias("t")).select("t.form", "t.lemma")
+def lemma_counts(sentences: DataFrame) -> DataFrame:
+    """word, cn: lemmas but those of punctuation and missing ones."""
+    return _worded(sentences).groupBy(F.col("lemma").alias("word")).agg(F.sum("n").alias("cn"))
 
 
 def token_lemma_counts(sentences: DataFrame) -> DataFrame:
     """token, lemma, cnt."""
-    return _worded(sentences).groupBy(F.col("form").alias("token"), "lemma").agg(F.count("*").alias("cnt"))
+    return _worded(sentences).where(F.col("form") != NONE).groupBy(F.col("form").alias("token"), "lemma").agg(F.sum("n").alias("cnt"))
 
 
 def token_counts(pairs: DataFrame) -> DataFrame:
@@ -42,30 +45,35 @@ def token_counts(pairs: DataFrame) -> DataFrame:
 
 def suffix_counts(sentences: DataFrame, longest: int = 5) -> DataFrame:
     """word (a marked suffix), cn: suffixes of forms whose lemma is no number."""
-    rows = _worded(sentences).where(~is_number(F.col("lemma"))).groupBy("form").agg(F.count("*").alias("n"))  # each form's suffixes are cut once
+    rows = _worded(sentences).where((F.col("form") != NONE) & ~is_number(F.col("lemma"))).groupBy("form").agg(F.sum("n").alias("n"))  # each form's suffixes are cut once
     return rows.select("n", F.explode(oov_suffixes(F.col("form"), longest)).alias("word")).groupBy("word").agg(F.sum("n").alias("cn"))
 
 
-def arcs(sentences: DataFrame) -> DataFrame:
-    """sent_id, pos, t, p: each token with its parent p in the sentence; heads out of range give no row."""
-    head = lambda t: F.when(t["head"].rlike("^[0-9]{1,9}$"), t["head"]).otherwise("0").cast("int")
-    pair = F.transform("toks", lambda t, i: F.struct((i + 1).alias("pos"), t.alias("t"), head(t).alias("h"), F.get("toks", head(t) - 1).alias("p")))
-    rows = sentences.select("sent_id", F.explode(pair).alias("x")).select("sent_id", "x.*")
-    return rows.where(F.col("p").isNotNull())
+def arcs(sentences: DataFrame, column: str = "lemma") -> DataFrame:
+    """sent_id, pos, word (the token's value in column), deprel, head, parent (the head's value in column), parent_deprel,
+    parent_misc: each token with its head in the sentence; heads out of range give no row."""
+    if "toks" in sentences.columns:
+        rows = sentences.select("sent_id", "toks", F.posexplode("toks").alias("__i", "t"))
+        head = F.when(F.col("t.head").rlike("^[0-9]{1,9}$"), F.col("t.head")).otherwise("0").cast("int")
+        rows = rows.select("sent_id", (F.col("__i") + 1).alias("pos"), F.col(f"t.{column}").alias("word"), "t.deprel", head.alias("head"), F.get("toks", head - 1).alias("p"))
+        return rows.where(F.col("p").isNotNull()).select("sent_id", "pos", "word", "deprel", "head", F.col(f"p.{column}").alias("parent"), F.col("p.deprel").alias("parent_deprel"), F.col("p.misc").alias("parent_misc"))
+    rows = sentences.where(F.col("parent_deprel").isNotNull())
+    return rows.select("sent_id", "pos", F.col(column).alias("word"), "deprel", "head", F.col(f"parent_{column}").alias("parent"), "parent_deprel", "parent_misc")
 
 
 def context_counts(sentences: DataFrame, column: str = "lemma", use_deprel: bool = True) -> DataFrame:
     """word (a context), cn. With relations: child<relation, seen from the head, and head>relation, seen
     from the child; a stub gives no context of its own. Without: the column's values."""
     if not use_deprel:
-        return tokens(sentences).where((F.col("deprel") != PUNC) & (F.col(column) != NONE)).groupBy(F.col(column).alias("word")).agg(F.count("*").alias("cn"))
-    t, p = (lambda f: F.col(f"t.{f}")), (lambda f: F.col(f"p.{f}"))
-    stub = p("misc") == STUB
-    rows = arcs(sentences).where((t("deprel") != PUNC) & (t(column) != NONE) & (t("deprel") != NONE) & (p("deprel") != PUNC) & ((p(column) != NONE) | stub))
-    # one aggregate over (child, relation, head, stub), then each group gives its two contexts
-    groups = rows.groupBy(t(column).alias("c"), t("deprel").alias("r"), p(column).alias("h"), stub.alias("stub")).agg(F.count("*").alias("n"))
-    seen = F.array(F.when(~F.col("stub"), F.concat("c", F.lit("<"), "r")), F.concat("h", F.lit(">"), "r"))
-    return groups.select("n", F.explode(F.filter(seen, lambda x: x.isNotNull())).alias("word")).groupBy("word").agg(F.sum("n").alias("cn"))
+        rows = tokens(sentences)
+        n = F.col("n") if "n" in rows.columns else F.lit(1)
+        return rows.where((F.col("deprel") != PUNC) & (F.col(column) != NONE)).groupBy(F.col(column).alias("word")).agg(F.sum(n).alias("cn"))
+    stub = F.col("parent_misc") == STUB
+    rows = arcs(sentences, column).where((F.col("deprel") != PUNC) & (F.col("word") != NONE) & (F.col("deprel") != NONE) & (F.col("parent_deprel") != PUNC) & ((F.col("parent") != NONE) | stub))
+    # both views of an arc are counted at once, by value, mark and relation: as many groups as there are contexts, however many arcs
+    child, head = (F.struct(F.col(v).alias("v"), F.lit(mark).alias("mark"), F.col("deprel").alias("r")) for v, mark in (("word", "<"), ("parent", ">")))
+    seen = rows.select(F.explode(F.when(stub, F.array(head)).otherwise(F.array(child, head))).alias("x")).select("x.*")
+    return seen.groupBy("v", "mark", "r").agg(F.count("*").alias("cn")).select(F.concat("v", "mark", "r").alias("word"), "cn")
 
 
 def at_least(vocab: DataFrame, count: int, exempt: DataFrame | None = None, exempt_count: int = 5) -> DataFrame:

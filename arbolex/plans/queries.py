@@ -14,7 +14,8 @@ from arbolex.operators import examples as X
 from arbolex.operators import models as M
 from arbolex.operators import similarity as S
 from arbolex.operators import vocab as V
-from arbolex.plans.views import MODEL_SQL, PAIRS_SQL, PARSE_SQL, SIZES, model, parsed, scored
+from arbolex.plans.views import MODEL_SQL, PAIRS_SQL, PARSE_SQL, SIZES, counted, flat, model, parsed, scored
+from arbolex.sources.files import spread
 
 DEP, ASSOC, GRAMM = SIZES
 MIN = 20
@@ -33,13 +34,21 @@ def query(sql: str | None):
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id")
 
 
 def _parse(spark: SparkSession, sf: str) -> DataFrame:
     return parsed(_docs(spark, sf))
 
 
+def _flat(spark: SparkSession, sf: str) -> DataFrame:
+    return flat(_docs(spark, sf))
+
+
+def _counted(spark: SparkSession, sf: str) -> DataFrame:
+    return counted(_docs(spark, sf))
+
+
 def _model(spark: SparkSession, sf: str) -> DataFrame:
     return model(spark.read.parquet(f"{sf}/embeddings.parquet"))
 
@@ -61,11 +70,11 @@ STOP_WORDS = ["the", "of", "and", "a", "to", "in", "la", "de", "der", "die"]
 
 
 def _lemmas(spark, sf):
-    return V.at_least(V.lemma_counts(_parse(spark, sf)), MIN)
+    return V.at_least(V.lemma_counts(_counted(spark, sf)), MIN)
 
 
 def _token_pairs(spark, sf):
-    return V.token_lemma_counts(_parse(spark, sf))
+    return V.token_lemma_counts(_counted(spark, sf))
 
 
 def _tokens(spark, sf):
@@ -73,7 +82,7 @@ def _tokens(spark, sf):
 
 
 def _contexts(spark, sf):
-    return V.at_least(V.context_counts(_parse(spark, sf)), MIN)
+    return V.at_least(V.context_counts(_flat(spark, sf)), MIN)
 
 
 def _words(spark, words):
@@ -104,7 +113,7 @@ def dep_context_vocab(spark, sf):
 
 @query(f"WITH {PARSE_SQL} SELECT lemma AS word, count(*) AS cn FROM toks WHERE deprel <> 'PUNC' AND lemma <> '_' GROUP BY lemma HAVING count(*) >= {MIN}")
 def dep_context_vocab_noderel(spark, sf):
-    return V.at_least(V.context_counts(_parse(spark, sf), use_deprel=False), MIN)
+    return V.at_least(V.context_counts(_counted(spark, sf), use_deprel=False), MIN)
 
 
 #: The test corpora are in Latin script; Cyrillic is spelt with their letters here, so that suffixes are counted.
@@ -112,7 +121,7 @@ LATIN, CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "абцдефгхийклмно
 
 
 def _cyrillic(sentences: DataFrame) -> DataFrame:
-    return sentences.withColumn("toks", F.transform("toks", lambda t: t.withField("form", F.translate(t["form"], LATIN, CYRILLIC))))
+    return sentences.withColumn("form", F.translate("form", LATIN, CYRILLIC))
 
 
 SUFFIXES = f"""cyr AS (SELECT translate(form, '{LATIN}', '{CYRILLIC}') AS form, lemma, deprel FROM toks),
@@ -125,14 +134,14 @@ suffixes AS (SELECT word, sum(n)::BIGINT AS cn FROM sfx GROUP BY word)"""
 
 @query(f"WITH {PARSE_SQL}, {SUFFIXES} SELECT word, cn FROM suffixes WHERE cn >= {MIN}")
 def suffix_vocab(spark, sf):
-    return V.at_least(V.suffix_counts(_cyrillic(_parse(spark, sf)), 3), MIN)
+    return V.at_least(V.suffix_counts(_cyrillic(_counted(spark, sf)), 3), MIN)
 
 
 @query(f"""WITH {PARSE_SQL}, {SUFFIXES}, words AS (SELECT DISTINCT form AS word FROM cut WHERE length(form) >= 6),
 good AS (SELECT right(word, k) AS s FROM words, generate_series(1, 3) AS g(k) GROUP BY s HAVING count(*) >= 50)
 SELECT word, cn FROM suffixes WHERE word IN (SELECT '_OOV_' || s FROM good)""")
 def suffix_df_filter(spark, sf):
-    sentences = _cyrillic(_parse(spark, sf))
+    sentences = _cyrillic(_counted(spark, sf))
     return V.frequent_suffixes(V.suffix_counts(sentences, 3), V.token_counts(V.token_lemma_counts(sentences)), 3, 50)
 
 
@@ -149,7 +158,7 @@ def whitelist_semi(spark, sf):
 @query(f"""WITH {PARSE_SQL} SELECT lemma AS word, count(*) AS cn FROM toks WHERE deprel <> 'PUNC' AND lemma <> '_' GROUP BY lemma
 HAVING count(*) >= 200 OR (count(*) >= 5 AND lemma LIKE 'th%')""")
 def categoroid_keep(spark, sf):
-    counts = V.lemma_counts(_parse(spark, sf))
+    counts = V.lemma_counts(_counted(spark, sf))
     return V.at_least(counts, 200, counts.where(F.col("word").startswith("th")), 5)
 
 
@@ -175,12 +184,12 @@ def noise_distribution(spark, sf):
 
 
 # --- training examples ------------------------------------------------------------------------------
-@query(f"""WITH {PARSE_SQL}, {LEMMAS}, v AS (SELECT word, {INDEX} FROM lemmas), k AS (SELECT sent_id, pos, lemma, idx FROM toks JOIN v ON word = lemma),
-s AS (SELECT sent_id, count(DISTINCT idx) AS n, sum(DISTINCT idx) AS total, bool_or(TRUE) FROM k WHERE lemma NOT IN {STOPS} GROUP BY sent_id)
+@query(f"""WITH {PARSE_SQL}, {LEMMAS}, v AS (SELECT word, {INDEX} FROM lemmas), k AS MATERIALIZED (SELECT sent_id, pos, lemma, idx FROM toks JOIN v ON word = lemma),
+o AS (SELECT DISTINCT sent_id, idx FROM k WHERE lemma NOT IN {STOPS}), s AS (SELECT sent_id, count(*) AS n, sum(idx) AS total FROM o GROUP BY sent_id)
 SELECT k.sent_id, k.pos, k.idx AS word, coalesce(n, 0) - inside AS n, (coalesce(total, 0) - inside * k.idx)::BIGINT AS total
 FROM (SELECT *, (lemma NOT IN {STOPS})::INT AS inside FROM k) k LEFT JOIN s USING (sent_id)""")
 def assoc_context_sets(spark, sf):
-    rows = X.associations(_parse(spark, sf), V.indexed(_lemmas(spark, sf)).select("word", "idx"), _words(spark, STOP_WORDS))
+    rows = X.associations(flat(_docs(spark, sf), heads=False), V.indexed(_lemmas(spark, sf)).select("word", "idx"), _words(spark, STOP_WORDS))
     return rows.select("sent_id", "pos", "word", F.size("assoc").alias("n"), F.aggregate("assoc", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
@@ -188,7 +197,7 @@ def assoc_context_sets(spark, sf):
 c AS (SELECT sent_id, pos, plemma || '>' || deprel AS word FROM arcs WHERE deprel <> '_' UNION ALL SELECT sent_id, head, lemma || '<' || deprel FROM arcs WHERE deprel <> '_')
 SELECT sent_id, pos, string_agg(idx::VARCHAR, ' ' ORDER BY idx) AS contexts FROM c JOIN v USING (word) GROUP BY sent_id, pos""")
 def dep_context_lists(spark, sf):
-    rows = X.dep_contexts(_parse(spark, sf), V.indexed(_contexts(spark, sf)).select("word", "idx"))
+    rows = X.dep_contexts(_flat(spark, sf), V.indexed(_contexts(spark, sf)).select("word", "idx"))
     return rows.select("sent_id", "pos", F.array_join(F.transform("contexts", lambda x: x.cast("string")), " ").alias("contexts"))
 
 
@@ -201,7 +210,7 @@ def _slot_sql() -> str:
 
 @query(f"WITH {PARSE_SQL} SELECT feats, {_slot_sql()} AS slots, count(*) AS n FROM toks GROUP BY feats")
 def msd_features(spark, sf):
-    rows = V.tokens(_parse(spark, sf)).groupBy("feats").agg(F.count("*").alias("n"))
+    rows = flat(_docs(spark, sf), heads=False).groupBy("feats").agg(F.count("*").alias("n"))
     return rows.select("feats", F.array_join(F.transform(msd.features(F.col("feats")), lambda x: x.cast("string")), "").alias("slots"), "n")
 
 
@@ -341,11 +350,11 @@ def suffix_mean_vector(spark, sf):
 
 NEAR = f"""near AS (SELECT a.word AS w1, b.word AS w2, {_cos(f'a.vec[:{DEP}]', f'b.vec[:{DEP}]')} AS dep, {_cos(f'a.vec[{DEP + 1}:]', f'b.vec[{DEP + 1}:]')} AS assoc
   FROM model a JOIN model b ON a.word <> b.word),
-best AS (SELECT * FROM near WHERE dep > 0.2 QUALIFY row_number() OVER (PARTITION BY w1 ORDER BY dep DESC, w2) <= 10)"""
+best AS (SELECT * FROM near WHERE dep > 0.2 QUALIFY row_number() OVER (PARTITION BY w1 ORDER BY dep DESC, w2) <= 50)"""
 
 
 def _related(spark, sf):
-    return S.related(_model(spark, sf), SIZES, 0.2, 10, cyrillic=False)
+    return S.related(_model(spark, sf), SIZES, 0.2, cyrillic=False)
 
 
 @query(f"WITH {MODEL_SQL}, {NEAR} SELECT w1, w2, round(dep, 6) AS dep, round(assoc, 6) AS assoc FROM best")
@@ -446,7 +455,7 @@ g AS (SELECT lemma, left(a, k) AS stem, tokens, list_filter(list_transform(token
 r AS (SELECT lemma, unnest(rests) AS s FROM g), bad AS (SELECT DISTINCT lemma FROM r WHERE s NOT IN (SELECT s FROM sfx))
 SELECT stem, lemma, len(tokens)::INT AS n FROM g WHERE lemma NOT IN (SELECT lemma FROM bad) QUALIFY count(*) OVER (PARTITION BY stem) = 1""")
 def stem_split(spark, sf):
-    pairs = V.tokens(_parse(spark, sf)).where(F.length("form") >= 5).select(F.col("form").alias("token"), F.left("form", F.lit(5)).alias("lemma")).distinct()
+    pairs = _counted(spark, sf).where(F.length("form") >= 5).select(F.col("form").alias("token"), F.left("form", F.lit(5)).alias("lemma")).distinct()
     suffixes = pairs.groupBy(F.expr("substring(token, 6)").alias("word")).agg(F.count("*").alias("n")).where("n >= 10")
     return M.stems(pairs, suffixes.where("word <> ''")).select("stem", "lemma", F.size("tokens").alias("n"))
 
@@ -485,8 +494,9 @@ def punctuation_vectors(spark, sf):
 def _training(spark, sf):
     """Sentences (lines of documents), their vocabularies; contexts with their sampling."""
     docs = _docs(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "text"))
-    sentences = parsed(docs.select((F.col("doc_id") * 1_000_000 + F.col("i")).alias("doc_id"), "text"))
-    words = V.indexed(V.at_least(V.lemma_counts(sentences), MIN))
+    docs = docs.select((F.col("doc_id") * 1_000_000 + F.col("i")).alias("doc_id"), "text")
+    sentences = flat(docs)
+    words = V.indexed(V.at_least(V.lemma_counts(counted(docs)), MIN))
     contexts = V.with_sampling(V.indexed(V.at_least(V.context_counts(sentences), MIN)), 1e-4)
     return sentences, words, contexts
 

@@ -15,20 +15,62 @@ TAGS = ["Ncmsny", "Vmip3s-a-p", "Afpmsnf", "Sp-l", "R", "Npfsgy", "C", "Q"]
 SIZES = (40, 24, 0)
 
 
+def _forms(text: str = "text"):
+    return F.array_remove(F.split(F.lower(text), "[ \n]+"), "")
+
+
+def _lemma(form):
+    return F.regexp_replace(form, r"[^\p{L}\p{N}]", "")
+
+
+def _relation(form, lemma):
+    return F.when(lemma == "", "PUNC").otherwise(F.concat(F.lit("r"), (F.length(form) % 5).cast("string")))
+
+
 def parsed(docs: DataFrame) -> DataFrame:
     """sent_id long, toks array<struct of the ten fields>: one row for each document with a word."""
-    forms = F.filter(F.split(F.lower("text"), "[ \n]+"), lambda x: x != "")
-    lemma = lambda x: F.regexp_replace(x, r"[^\p{L}\p{N}]", "")
     tags = F.array(*map(F.lit, TAGS))
 
     def token(x, i):
+        form, lemma = x["form"], x["lemma"]
         return F.struct(
-            (i + 1).cast("string").alias("id"), x.alias("form"), F.when(lemma(x) == "", "_").otherwise(lemma(x)).alias("lemma"), F.lit("_").alias("upos"), F.lit("_").alias("xpos"), F.get(tags, i % len(TAGS)).alias("feats"),
-            F.floor((i + 1) / 2).cast("string").alias("head"), F.when(lemma(x) == "", "PUNC").otherwise(F.concat(F.lit("r"), (F.length(x) % 5).cast("string"))).alias("deprel"), F.lit("_").alias("deps"), F.lit("_").alias("misc"),
+            (i + 1).cast("string").alias("id"), form.alias("form"), F.when(lemma == "", "_").otherwise(lemma).alias("lemma"), F.lit("_").alias("upos"), F.lit("_").alias("xpos"), F.get(tags, i % len(TAGS)).alias("feats"),
+            F.floor((i + 1) / 2).cast("string").alias("head"), _relation(form, lemma).alias("deprel"), F.lit("_").alias("deps"), F.lit("_").alias("misc"),
         )
 
-    toks = docs.select(F.col("doc_id").alias("sent_id"), forms.alias("forms")).where(F.size("forms") > 0)
-    return toks.select("sent_id", F.transform("forms", token).alias("toks"))
+    # a word's lemma is made once, and read where it is needed
+    words = docs.select(F.col("doc_id").alias("sent_id"), F.transform(_forms(), lambda x: F.struct(x.alias("form"), _lemma(x).alias("lemma"))).alias("words"))
+    return words.select("sent_id", F.transform("words", token).alias("toks")).where(F.size("toks") > 0)
+
+
+def _once(rows: DataFrame, **made) -> DataFrame:
+    """rows with the columns made, each worked out once a row: the generator between keeps the optimizer from
+    copying their expressions into every filter and projection that reads them."""
+    return rows.select("*", F.inline_outer(F.array(F.struct(*[c.alias(name) for name, c in made.items()]))))
+
+
+def flat(docs: DataFrame, heads: bool = True) -> DataFrame:
+    """The same parse, a row for each token: sent_id, pos, form, lemma, feats, deprel, head, and, if heads are wanted,
+    the head's values in parent_form, parent_lemma, parent_deprel (null without one)."""
+    rows = docs.select(F.col("doc_id").alias("sent_id"), _forms().alias("forms")).select("sent_id", "forms", F.posexplode_outer("forms").alias("i", "form")).where("form IS NOT NULL")
+    up = F.shiftright(F.col("i") + 1, 1)
+    above = F.get("forms", up - 1)
+    rows = rows.select("sent_id", "i", "form", up.alias("head"), *[above.alias("above")] * heads)
+    rows = _once(rows, l=_lemma(F.col("form")), **({"al": _lemma(F.col("above"))} if heads else {}))
+    known = lambda x: F.when(F.col(x) == "", "_").otherwise(F.col(x))
+    there = F.col("above").isNotNull()
+    parent = [F.col("above").alias("parent_form"), known("al").alias("parent_lemma"), F.when(there, _relation(F.col("above"), F.col("al"))).alias("parent_deprel"), F.when(there, "_").alias("parent_misc")] if heads else []
+    return rows.select(
+        "sent_id", (F.col("i") + 1).alias("pos"), "form", known("l").alias("lemma"), F.get(F.array(*map(F.lit, TAGS)), F.col("i") % len(TAGS)).alias("feats"),
+        _relation(F.col("form"), F.col("l")).alias("deprel"), "head", F.lit("_").alias("misc"), *parent,
+    )
+
+
+def counted(docs: DataFrame) -> DataFrame:
+    """form, lemma, deprel, n: the tokens of flat, counted by form before a form's lemma is made."""
+    rows = docs.select(F.explode_outer(_forms()).alias("form")).where("form IS NOT NULL").groupBy("form").agg(F.count("*").alias("n"))
+    rows = _once(rows, l=_lemma(F.col("form")))
+    return rows.select("form", F.when(F.col("l") == "", "_").otherwise(F.col("l")).alias("lemma"), _relation(F.col("form"), F.col("l")).alias("deprel"), "n")
 
 
 PARSE_SQL = """f AS (SELECT doc_id AS sent_id, regexp_split_to_array(lower(text), '[ \\n]+') AS w FROM documents),

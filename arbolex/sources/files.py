@@ -12,6 +12,23 @@ from arbolex.operators.examples import bad_lines
 from arbolex.operators.vocab import indexed, only, without
 
 
+#: Bytes of files up to which ``spread`` deals rows out anew.
+SPREAD = 256 << 20
+
+
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows read from fewer files than there are cores, dealt out to all cores by the hash of keys: one small file
+    is often one row group, and so one task. Larger inputs, of which each file gives many tasks, stay as they are."""
+    spark = rows.sparkSession
+    cores, paths = spark.sparkContext.defaultParallelism, rows.inputFiles()
+    if not paths or len(paths) >= cores:
+        return rows
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    at = [hadoop(spark._jvm.java.net.URI(p)) for p in paths]
+    size = sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in at)
+    return rows.repartition(cores, *keys) if size <= SPREAD else rows
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.regexp_replace("value", "\r$", "").alias("value"))
 

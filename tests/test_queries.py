@@ -54,10 +54,10 @@ def test_entry(spark):
 
 def test_context_lookup_is_not_a_join(spark):
     from arbolex.operators.vocab import context_counts
-    from arbolex.plans.views import parsed
+    from arbolex.plans.views import flat
 
-    plan = context_counts(parsed(spark.read.parquet(f"{DATA}/documents.parquet")))._jdf.queryExecution().executedPlan().toString()
-    assert "Join" not in plan and "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+    plan = context_counts(flat(spark.read.parquet(f"{DATA}/documents.parquet")))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "ReadSchema: struct<text:string>" in plan
 
 
 def test_streaming_vocabulary(spark, tmp_path):
