@@ -71,7 +71,8 @@ def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for turns in batch.column("turns").to_pylist():
             last, steps = b"", []
             for t in turns:
-                last = hashlib.blake2b(b"\0".join([last, (t["role"] or "").encode(), (t["text"] or "").encode()]), digest_size=16).digest()
+                role = (t["role"] or "").encode()  # its length comes first, so that no other turn gives the same bytes
+                last = hashlib.blake2b(last + len(role).to_bytes(8, "little") + role + (t["text"] or "").encode(), digest_size=16).digest()
                 steps.append(last.hex())
             path.append("".join(steps))
         yield pa.RecordBatch.from_arrays([batch.column("conv_id"), pa.array(path, pa.string()), batch.column("turns")], ["conv_id", "path", "turns"])
@@ -122,7 +123,7 @@ def _blocks(tokenizer: str, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        context, tool = TaskContext.get(), encoder(tokenizer)
+        context, tool = TaskContext.get(), encoder(tokenizer, special_as_text=True)
         number = (context.partitionId() if context else 0) << 40
         block = Block()
 
@@ -169,7 +170,7 @@ def format_conversations(turns: DataFrame, tokenizer: str, block_tokens: int = B
 
 def _read(tokenizer: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = encoder(tokenizer).library
+        tool = encoder(tokenizer, special_as_text=True).library
         text = lambda ids: tool.decode(ids, skip_special_tokens=False)
         for batch in batches:
             out: list[tuple] = []

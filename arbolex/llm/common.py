@@ -37,6 +37,27 @@ def row_key(*cols: str) -> list[Column]:
 KEY = ["__k1", "__k2"]
 
 
+def row_name(df: DataFrame) -> str:
+    """A name that no column of df has."""
+    name = "__row"
+    while name in map(str.lower, df.columns):
+        name += "_"
+    return name
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, so that no name of a caller's column can meet one of ours."""
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns]).alias(row_name(df))
+
+
+def of_row(df: DataFrame) -> list[Column]:
+    """The columns of df out of that struct."""
+    return [F.col(row_name(df))[c].alias(c) for c in df.columns]
+
+
+_ENDING: set[str] = set()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where it is unset (local mode)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
@@ -45,12 +66,19 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="arbolex-")
         spark.conf.set("spark.checkpoint.dir", at)
-    return f"{at.rstrip('/')}/arbolex-{spark.sparkContext.applicationId}"
+    folder = f"{at.rstrip('/')}/arbolex-{spark.sparkContext.applicationId}"
+    if folder not in _ENDING:  # the folder goes when the driver ends
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+        _ENDING.add(folder)
+    return folder
 
 
 def stored(df: DataFrame, what: str, **options: str) -> DataFrame:
     """Cuts lineage: writes df as Parquet into the shared folder and reads it back, so that a lost
-    executor costs no recomputation. ``release`` removes these tables."""
+    executor costs no recomputation. These tables go with ``release``, or when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.options(**{"compression": "zstd"} | options).parquet(path)

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arbolex.llm.common import KEY, lower_ascii, refuse_clashes, row_key, words
+from arbolex.llm.common import KEY, lower_ascii, of_row, refuse_clashes, row_key, row_name, whole_row, words
 
 #: Rows of the hash set up to which it is broadcast (8 bytes each and the table's overhead: under 100 MB);
 #: a larger one is joined by a shuffle.
@@ -89,10 +89,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, remove: str =
     docs = docs.drop("n_words", "n_hit", "item_ids", "contaminated")
     found = hits(docs, items, n).withColumnRenamed("hit", "__hit")
     # words are counted before the join, so that texts nobody selects need not go through it
-    out = docs.select("*", *row_key("doc_id", "text"), F.size(words(lower_ascii(F.col("text")))).alias("n_words")).join(found, KEY, "left")
-    text = F.col("text")
+    out = docs.select(whole_row(docs), *row_key("doc_id", "text"), F.size(words(lower_ascii(F.col("text")))).alias("n_words")).join(found, KEY, "left")
+    text = F.col(row_name(docs))["text"]
     if remove == "spans":
-        whole = F.coalesce("text", F.lit(""))
+        whole = F.coalesce(text, F.lit(""))
         own = F.array_remove(F.split(whole, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), "")
         between = F.split(whole, r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
         left = F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col("__hit"))
@@ -101,7 +101,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, remove: str =
     if remove == "documents":
         out = out.where(~hit)
     return out.select(
-        *[text.alias(c) if c == "text" else docs[c] for c in docs.columns],
+        *[text.alias(c) if c == "text" else x for c, x in zip(docs.columns, of_row(docs), strict=True)],
         "n_words",
         F.coalesce(F.size("__hit"), F.lit(0)).alias("n_hit"),
         F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),

@@ -4,7 +4,8 @@ The two kinds of byte-pair tokenizers used here cut a text into pieces that are
 each other. ``Encoder`` finds the pieces of a whole batch with numpy, asks the library only for pieces it
 has not yet seen in this process, and gathers the ids. The classes of characters come from the library's
 own regular expressions. A tokenizer of another kind, and a text with a character that changes length when
-normalised, go to the library whole. Special tokens' strings inside a text are ordinary text.
+normalised, go to the library whole; so does a text that holds a special token's string, which the library
+reads as that token unless it is told to take it as ordinary text (special_as_text).
 """
 
 from __future__ import annotations
@@ -25,15 +26,16 @@ MAX_PIECES = 2_000_000
 #: Code points processed at once.
 CHUNK = 1_000_000
 SPACE, LETTER, NUMBER, OTHER, UNKNOWN = 0, 1, 2, 3, 255
-_ENCODERS: dict[str, "Encoder"] = {}
+_ENCODERS: dict[tuple[str, bool], "Encoder"] = {}
 _TOP = 0x110000
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder for a file in each process."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, special_as_text: bool = False) -> Encoder:
+    """One encoder for a file and a way in each process."""
+    key = (path, special_as_text)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(path, special_as_text)
+    return _ENCODERS[key]
 
 
 def _code_points(text: str) -> np.ndarray:
@@ -53,14 +55,16 @@ def _classify(kinds: np.ndarray, points: np.ndarray) -> None:
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = special_as_text
         with open(path, encoding="utf-8") as f:
             said = json.load(f)
+        added = [x for x in said.get("added_tokens", ()) if not (special_as_text and x["special"])]
+        self.marks = [x["content"] for x in added]
         steps = said["pre_tokenizer"]
         steps = [steps] if steps and steps["type"] != "Sequence" else (steps or {"pretokenizers": []})["pretokenizers"]
         normal = said.get("normalizer")
@@ -69,7 +73,7 @@ class Encoder:
         self.spaced = kinds == ["ByteLevel"] and steps[0]["use_regex"] and not steps[0]["add_prefix_space"] and not normals
         self.folded = kinds == ["Split", "ByteLevel"] and steps[0]["invert"] and steps[0]["behavior"] == "Removed" and r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" in steps[0]["pattern"].get("Regex", "") and normals == ["NFC", "Replace", "Lowercase"]
         self.simple = said["model"]["type"] == "BPE" and not said["model"].get("dropout")
-        self.fast = self.simple and (self.spaced or self.folded)
+        self.fast = self.simple and (self.spaced or self.folded) and not any(x["normalized"] for x in added)
         self.keys = np.zeros(0, np.uint64)
         self.table: list[np.ndarray] = []
         if self.fast:
@@ -119,11 +123,10 @@ class Encoder:
             each = [self._whole(t, places) for t in texts]
             return np.concatenate([x for x, _ in each]), np.array([len(x) for x, _ in each]), np.concatenate([p for _, p in each]) if places else None
         odd: dict[int, tuple] = {}
-        if self.folded:
-            for i, t in enumerate(texts):
-                if not t.isascii() and (not unicodedata.is_normalized("NFC", t) or (self.lower[_code_points(t)] == _TOP - 1).any() or "Σ" in t):
-                    odd[i] = self._whole(t, places)
-            texts = ["" if i in odd else t for i, t in enumerate(texts)]
+        for i, t in enumerate(texts):
+            if any(m in t for m in self.marks) or self.folded and not t.isascii() and (not unicodedata.is_normalized("NFC", t) or (self.lower[_code_points(t)] == _TOP - 1).any() or "Σ" in t):
+                odd[i] = self._whole(t, places)
+        texts = ["" if i in odd else t for i, t in enumerate(texts)]
         points = _code_points("".join(texts))
         bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         if self.folded:

@@ -16,9 +16,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
 from arbolex.llm import textarrays
-from arbolex.llm.common import refuse_clashes
+from arbolex.llm.common import of_row, refuse_clashes, row_name, whole_row
 
 SAMPLE = 20_000
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars", "n_upper", "n_digits", "n_marks", "n_wide", "n_lines")
@@ -172,10 +173,12 @@ _TYPES = ", ".join(f"{c} long" for c in COUNTS)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees | None:
-    """Trees from at most sample labelled documents, those of least hash of doc_id. None without both labels."""
+    """Trees from at most sample labelled documents, those of least hash of doc_id; of a doc_id's texts, the one of
+    least hash. None without both labels."""
     few = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("__quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", F.col("text").alias("__text")).join(F.broadcast(few), "doc_id").select("__quality", "__text")
-    got = rows.mapInArrow(_counted, f"__quality {dict(few.dtypes)['__quality']}, {_TYPES}").limit(2 * sample).toPandas()
+    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
+    rows = rows.groupBy("doc_id", "__quality").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("__text")).select("__quality", "__text")
+    got = rows.mapInArrow(_counted, f"__quality {dict(few.dtypes)['__quality']}, {_TYPES}").toPandas()  # at most sample rows
     y = (got["__quality"].to_numpy() > 0).astype(float)
     if not len(y) or y.min() == y.max():
         return None
@@ -197,15 +200,15 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sa
     refuse_clashes(labels, "doc_id", "quality")
     docs = docs.drop(*COUNTS, "base_failed", "score", "kept")
     trees = fit(docs, labels, sample)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    schema = StructType([StructField(row_name(docs), docs.schema), *[StructField(c, LongType()) for c in COUNTS], StructField("base_failed", BooleanType()), StructField("score", DoubleType()), StructField("kept", BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            count = counts(batch.column("__text"))
+            row = batch.column(0)
+            count = counts(row.field("text"))
             n, repeats = count[:, 0], count[:, 4]
             failed = (n < 50) | (100 * repeats > 50 * n)
             score = trees.score(features(count)) if trees else np.ones(len(n))
-            rest = [c for c in batch.schema.names if c != "__text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *(pa.array(c) for c in count.T), pa.array(failed), pa.array(score), pa.array(~failed & (score >= threshold))], [*rest, *COUNTS, "base_failed", "score", "kept"])
+            yield pa.RecordBatch.from_arrays([row, *(pa.array(c) for c in count.T), pa.array(failed), pa.array(score), pa.array(~failed & (score >= threshold))], [*schema.names[:1], *COUNTS, "base_failed", "score", "kept"])
 
-    return docs.withColumn("__text", F.col("text")).mapInArrow(run, f"{fields}, {_TYPES}, base_failed boolean, score double, kept boolean")
+    return docs.select(whole_row(docs)).mapInArrow(run, schema).select(*of_row(docs), *schema.names[1:])

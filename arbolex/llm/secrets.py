@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arbolex.llm.common import KEY, refuse_clashes, row_key
+from arbolex.llm.common import KEY, of_row, refuse_clashes, row_key, whole_row
 
 #: kind: (pattern, group whose length counts, least length, role, strong, pattern the value must also have)
 KINDS = {
@@ -86,4 +86,4 @@ def secret_scan(docs: DataFrame, scope: int = 200) -> DataFrame:
     rank = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)])[F.col("kind")]
     spans = spans.groupBy(*KEY).agg(F.array_sort(F.collect_set(F.struct("start", rank.alias("rank"), "kind", "end"))).alias("spans"))
     none = F.array().cast(spans.schema["spans"].dataType)
-    return docs.select("*", *row_key("doc_id", "text")).join(spans, KEY, "left").select(*[docs[c] for c in docs.columns], F.coalesce("spans", none).alias("spans"))
+    return docs.select(whole_row(docs), *row_key("doc_id", "text")).join(spans, KEY, "left").select(*of_row(docs), F.coalesce("spans", none).alias("spans"))

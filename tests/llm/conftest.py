@@ -3,7 +3,7 @@ import random
 import pytest
 
 WORDS = [f"{a}{b}" for a in ("ka", "lo", "mi", "tu", "sé", "вы") for b in ("r", "nd", "ß", "x1", "ö", "q")]
-SCHEMA = "doc_id long, text string, n_words string, spans int, kept string"
+SCHEMA = "doc_id long, text string, n_words string, spans int, kept string, `a.b` string, __text int, __drops string, __k1 int, __row int"
 
 
 def prose(seed: int, n: int) -> str:
@@ -34,7 +34,7 @@ def rows():
 @pytest.fixture(scope="session")
 def docs(spark, rows):
     """With extra columns that clash with results' names."""
-    return spark.createDataFrame([(a, b, "x", 1, "y") for a, b in rows], SCHEMA).repartition(3)
+    return spark.createDataFrame([(a, b, "x", 1, "y", "dot", 7, "drop", 3, 4) for a, b in rows], SCHEMA).repartition(3)
 
 
 @pytest.fixture(scope="session")

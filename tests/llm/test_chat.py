@@ -47,11 +47,18 @@ def test_round_trip(spark, turns, block):
         assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256, r.formatted_chars) == (len(said), sha("".join(f"{a}\n{b}\n" for a, b in said)), len(loss), sha(loss), len(whole))
 
 
+def test_turns_that_only_look_alike(spark):
+    rows = [(1, 0, "user\0x", "y"), (2, 0, "user", "x\0y"), (3, 0, "user\0", "x\0y"), (4, 0, "", "user\0x\0y")]
+    blocks, members = format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), BYTE)
+    got = {r.conv_id: r.turns_sha256 for r in members.join(read_back(blocks, BYTE), "key").collect()}
+    assert got == {c: hashlib.sha256(f"{a}\n{b}\n".encode()).hexdigest() for c, _, a, b in rows}
+
+
 def test_tree(spark, turns):
     blocks, members = format_conversations(turns, BYTE)
     prefixes = {tuple(said[: i + 1]) for said in conversations(turns).values() for i in range(len(said))}
     rows = blocks.collect()
-    tool = encoder(BYTE).library
+    tool = encoder(BYTE, special_as_text=True).library
     seen = []
     for b in rows:
         for i, n in enumerate(b.nodes):

@@ -151,14 +151,18 @@ def test_quality_rules(spark, docs, rows, empty):
 FUZZ = "ab sS  tTréÉßİΣσς  \n\t'''.,!?*#123٣½日本語😀é<|endoftext|>'re 'll 've'd'm 's\r\n"
 
 
+@pytest.mark.parametrize("special", [False, True])
 @pytest.mark.parametrize("path", [BYTE, WORD])
-def test_encoder_equals_library(rows, path):
+def test_encoder_equals_library(rows, path, special):
     r = np.random.default_rng(2)
-    texts = [t for _, t in rows] + ["".join(FUZZ[i] for i in r.integers(0, len(FUZZ), n)) for n in r.integers(0, 60, 1500)]
-    tool = Encoder(path)
-    assert tool.fast
+    texts = [t for _, t in rows] + ["a<|endoftext|>b", "<|endoftext|>", "<|ENDOFTEXT|> <|startoftext|>x"] + ["".join(FUZZ[i] for i in r.integers(0, len(FUZZ), n)) for n in r.integers(0, 60, 1500)]
+    from tokenizers import Tokenizer
+
+    tool, library = Encoder(path, special), Tokenizer.from_file(path)
+    library.encode_special_tokens = special  # False is the library's own way
+    assert tool.fast and sum("<|endoftext|>" in (t or "") for t in texts)
     ids, at = tool.encode(texts)
-    found = tool.library.encode_batch([t or "" for t in texts], add_special_tokens=False)
+    found = library.encode_batch([t or "" for t in texts], add_special_tokens=False)
     assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [x.ids for x in found]
     if path == BYTE:
         ids, at, where = tool.encode_with_places(texts)
