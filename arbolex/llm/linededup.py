@@ -2,9 +2,9 @@
 threshold, reassemble by position. DataFrame functions only.
 
 Skew: a line that a third of all documents share is counted by partial aggregates before any shuffle.
-The join that marks its occurrences is a plain sort-merge join whose left side adaptive execution can
-split; the right side has one row per key. Nothing is collected, and no group of rows is gathered but
-the dropped positions of one document.
+Common lines with over 1 / HOT of all common lines' rows are fewer than HOT, so they are broadcast and
+marked where they are read; on the way through the join of the others such rows are dealt out by their
+document. Nothing is collected, and no group of rows is gathered but the dropped positions of one document.
 """
 
 from __future__ import annotations
@@ -12,8 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arbolex.llm.common import KEY, lower_ascii, refuse_clashes, row_key
+from arbolex.llm.common import KEY, lower_ascii, of_row, refuse_clashes, row_key, row_name, stored, whole_row
 
+#: Bound of the number of lines that are broadcast.
+HOT = 2_000
 #: White space that is stripped from a line for its key.
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -31,7 +33,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> DataF
     Null or empty text: one empty line, kept. Null doc_ids count together as one document, larger than
     all others. Rows repeated with one doc_id are one document, and each keeps the same lines. A text
     whose every line goes becomes empty. Empty table: no rows. Other columns pass through untouched;
-    one named as a result is replaced (names that begin with "__" are ours). Very long texts: their lines are rows.
+    one named as a result is replaced. Very long texts: their lines are rows.
     """
     refuse_clashes(docs, "doc_id", "text")
     docs = docs.drop("kept_text", "n_lines", "n_dropped")
@@ -40,19 +42,27 @@ def line_dedup(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> DataF
     lines = lines.withColumn("__line", line_key(F.col("__line"))).where(F.length("__line") >= min_chars)
     lines = lines.select("doc_id", *KEY, "__pos", F.xxhash64("__line").alias("__h1"), F.xxhash64(F.lit(1), "__line").alias("__h2"))
     if min_docs == 2:  # two documents have the line iff its smallest and largest ids differ: one aggregate
-        common = lines.groupBy("__h1", "__h2").agg(F.min("doc_id").alias("__first"), F.max("doc_id").alias("__last"), F.max(F.isnull("doc_id")).alias("__null"))
+        common = lines.groupBy("__h1", "__h2").agg(F.min("doc_id").alias("__first"), F.max("doc_id").alias("__last"), F.max(F.isnull("doc_id")).alias("__null"), F.count("*").alias("__rows"))
         common = common.where((F.col("__first") < F.col("__last")) | (F.col("__null") & F.col("__first").isNotNull()))
     else:
-        common = lines.groupBy("__h1", "__h2", "doc_id").agg(F.lit(1).alias("__one")).groupBy("__h1", "__h2")
-        common = common.agg(F.count("*").alias("__docs"), F.min("doc_id").alias("__first")).where(F.col("__docs") >= min_docs)
-    drops = lines.join(common.select("__h1", "__h2", "__first"), ["__h1", "__h2"]).where(~F.col("doc_id").eqNullSafe(F.col("__first")))
+        common = lines.groupBy("__h1", "__h2", "doc_id").agg(F.count("*").alias("__n")).groupBy("__h1", "__h2")
+        common = common.agg(F.count("*").alias("__docs"), F.min("doc_id").alias("__first"), F.sum("__n").alias("__rows")).where(F.col("__docs") >= min_docs)
+    common = stored(common.select("__h1", "__h2", "__first", "__rows"), "common-lines")
+    often = F.col("__rows") * HOT > common.agg(F.sum("__rows")).scalar()
+    hot = common.where(often).select("__h1", "__h2", F.col("__first").alias("__least"), F.lit(True).alias("__hot"))  # under HOT rows
+    marked = lines.join(F.broadcast(hot), ["__h1", "__h2"], "left")
+    marked = marked.select("doc_id", *KEY, "__pos", "__least", "__hot", F.when(F.col("__hot"), F.col("__k1")).otherwise(F.col("__h1")).alias("__a"), F.when(F.col("__hot"), F.col("__k2")).otherwise(F.col("__h2")).alias("__b"))
+    rest = common.where(~often).select(F.col("__h1").alias("__a"), F.col("__h2").alias("__b"), F.col("__first"), F.lit(True).alias("__cold"))
+    drops = marked.join(rest, ["__a", "__b"], "left").where(F.col("__hot") | F.col("__cold"))
+    drops = drops.where(~F.col("doc_id").eqNullSafe(F.when(F.col("__hot"), F.col("__least")).otherwise(F.col("__first"))))
     drops = drops.groupBy(*KEY).agg(F.collect_set("__pos").alias("__drops"))
-    out = docs.select("*", *row_key("doc_id", "text")).join(drops, KEY, "left")
-    all_lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    out = docs.select(whole_row(docs), *row_key("doc_id", "text")).join(drops, KEY, "left")
+    text = F.coalesce(F.col(row_name(docs))["text"], F.lit(""))
+    all_lines = F.split(text, "\n")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("__drops")), lambda i: F.get(all_lines, i))
     return out.select(
-        *[docs[c] for c in docs.columns],
-        F.when(F.col("__drops").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
+        *of_row(docs),
+        F.when(F.col("__drops").isNull(), text).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
         F.size(all_lines).alias("n_lines"),
         F.coalesce(F.size("__drops"), F.lit(0)).alias("n_dropped"),
     )

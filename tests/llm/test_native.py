@@ -5,8 +5,10 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from arbolex.llm import linededup
 from arbolex.llm.decontaminate import decontaminate
 from arbolex.llm.linededup import line_dedup
+from arbolex.llm.quality import quality_rules
 from arbolex.llm.secrets import BASE, KINDS, secret_scan
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -37,6 +39,28 @@ def test_line_dedup(docs, rows, least):
     assert [c for c in out.columns if c in docs.columns] == docs.columns
 
 
+def test_hot_lines(spark, monkeypatch):
+    """Lines over the threshold of the broadcast and lines below it, with null and repeated ids."""
+    monkeypatch.setattr(linededup, "HOT", 3)
+    rows = [(None if i % 17 == 0 else i // 2, "\n".join(["a line that all have", f"a line of some {i % 5}", f"a line of one {i}"])) for i in range(60)]
+    where, first = defaultdict(set), {}
+    for d, t in rows:
+        for line in t.split("\n"):
+            where[line].add(d)
+            first[line] = min(first.get(line, d), d, key=lambda x: (x is None, x))
+    want = Counter((d, "\n".join(x for x in t.split("\n") if len(where[x]) < 2 or first[x] == d)) for d, t in rows)
+    got = line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.kept_text) for r in got) == want
+
+
+def test_names_pass_through(docs, items, rows):
+    """Columns with dots, and with names that the operators use inside."""
+    labels = docs.sparkSession.createDataFrame([(1, 1)], "doc_id long, quality int")
+    for out in (line_dedup(docs), decontaminate(docs, items), decontaminate(docs, items, remove="spans"), secret_scan(docs), quality_rules(docs, labels)):
+        got = out.select("`a.b`", "__text", "__drops", "__k1", "__row").collect()
+        assert len(got) == len(rows) and {tuple(r) for r in got} == {("dot", 7, "drop", 3, 4)}
+
+
 def test_line_dedup_empty(empty):
     assert line_dedup(empty).count() == 0
 
