@@ -111,12 +111,72 @@ def op10_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.join(read_back(blocks, tokenizer), "key").drop("key")
 
 
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op2: the words and the base phrases."""
+    return op2_license_scans(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def secret_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op6: the base kinds."""
+    return op6_secret_scans(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op7: the counts and the base rules."""
+    return op7_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 QUERIES = {f.__name__: f for f in (op1_ffd_packing, op2_license_scans, op3_token_files, op4_benchmark_decontamination, op5_setsketch_near_dedup, op6_secret_scans, op7_quality_rules, op8_line_dedup, op9_token_counts, op10_chat_prefix_tree)}
 
+#: Queries of the parts that SQL can say, where it cannot say the whole.
+PARTS = {f.__name__: f for f in (license_base, secret_base, quality_counts)}
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+_TOKENS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
 ORACLE_SQL = {
+    "op5_setsketch_near_dedup": f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_TOKENS.replace("coalesce(text, '')", _LOWER.format("coalesce(text, '')"))} AS w FROM documents),
+t AS (SELECT doc_id, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM w),
+f AS (SELECT doc_id, a || ' ' || lead(a) OVER o || ' ' || lead(a, 2) OVER o || ' ' || lead(a, 3) OVER o AS s FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+s AS (SELECT DISTINCT doc_id, s FROM f WHERE s IS NOT NULL UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM w WHERE len(w) BETWEEN 1 AND 3),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, e.b FROM r JOIN e ON e.a = r.y),
+c AS (SELECT x, min(y) AS component_id FROM r GROUP BY x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, component_id = d.doc_id AS kept FROM documents d JOIN c ON x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
+    "license_base": f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+t(phrase, size, label) AS (VALUES ('gnu general public license', 4, 'gpl'), ('apache license', 2, 'apache'), ('cc by', 2, 'cc-by'), ('mit license', 2, 'mit')),
+x AS (SELECT doc_id, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM d),
+y AS (SELECT doc_id, i, a || ' ' || lead(a) OVER o AS two, a || ' ' || lead(a) OVER o || ' ' || lead(a, 2) OVER o || ' ' || lead(a, 3) OVER o AS four FROM x WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+h AS (SELECT doc_id, i, label FROM y, t WHERE CASE size WHEN 4 THEN four ELSE two END = phrase),
+g AS (SELECT doc_id, count(*) AS n, min(i) - 1 AS a, max(i) - 1 AS z, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM h GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0) AS n_base, a AS first_word, z AS last_word, coalesce(labels, '') AS base_labels FROM d LEFT JOIN g USING (doc_id)""",
+    "secret_base": f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+m AS (SELECT doc_id, 0 AS rank, 'assign' AS kind, regexp_extract_all(text, '{_ASSIGN}') AS f, list_transform(regexp_extract_all(text, '{_ASSIGN}', 2), lambda x: length(x) >= 8) AS ok, string_split_regex(text, '{_ASSIGN}') AS g FROM d
+  UNION ALL SELECT doc_id, 1, 'access', regexp_extract_all(text, 'AKIA[A-Z0-9]+'), list_transform(regexp_extract_all(text, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 16), string_split_regex(text, 'AKIA[A-Z0-9]+') FROM d
+  UNION ALL SELECT doc_id, 2, 'hex', regexp_extract_all(text, '[0-9a-f]+'), list_transform(regexp_extract_all(text, '[0-9a-f]+'), lambda x: length(x) >= 32), string_split_regex(text, '[0-9a-f]+') FROM d),
+k AS (SELECT *, unnest(list_filter(range(1, len(f) + 1), lambda i: ok[i])) AS i FROM m),
+s AS (SELECT doc_id, rank, kind, length(f[i]) AS size, (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: length(x))), 0))::BIGINT AS a FROM k),
+o AS (SELECT doc_id, count(*) FILTER (rank = 0) AS n0, count(*) FILTER (rank = 1) AS n1, count(*) FILTER (rank = 2) AS n2, string_agg(kind || ':' || a || ':' || (a + size), ',' ORDER BY a, rank) AS said FROM s GROUP BY doc_id)
+SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(said, '')) AS base_sha256 FROM d LEFT JOIN o USING (doc_id)""",
+    "quality_counts": f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_TOKENS} AS w FROM documents),
+l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+z AS (SELECT doc_id, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM d),
+g AS (SELECT doc_id, i, a || ' ' || lead(a) OVER v || ' ' || lead(a, 2) OVER v AS gram FROM z WINDOW v AS (PARTITION BY doc_id ORDER BY i)),
+o AS (SELECT doc_id, i FROM g WHERE gram IS NOT NULL QUALIFY count(*) OVER (PARTITION BY doc_id, gram) > 1),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM o) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+  coalesce(l.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, len(w) < 50 OR 100 * coalesce(r.n, 0) > 50 * len(w) AS base_failed
+FROM d LEFT JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)""",
     "op4_benchmark_decontamination": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
