@@ -210,11 +210,16 @@ def task_spl_m(spark: SparkSession, p: Parameters) -> None:
 
 
 def task_rue(spark: SparkSession, p: Parameters) -> None:
-    """Rows and a token-to-row map as Parquet, marks included, beside the model."""
-    _, m = _model(spark, p)
-    rows, names = models.shared_rows(files.read_token_lemmas(spark, p["tl_map"]), models.merge(m, models.punctuation(m)))
-    rows.orderBy("row").write.mode("overwrite").parquet(p["model"] + ".lex")
-    names.orderBy("token").write.mode("overwrite").parquet(p["model"] + ".t2lex")
+    """MODEL.lex: the sizes, then the rows' vectors alone; MODEL.t2lex: lines of token and row. Marks have rows of their own."""
+    head, m = _model(spark, p)
+    counts = files.read_token_lemmas(spark, p["tl_map"])
+    rows, names = models.shared_rows(counts, m)
+    models.shared_row_totals(counts, m).show()
+    marks = models.punctuation(m).orderBy("word").collect()  # 35 marks
+    first = rows.count()
+    extra = spark.createDataFrame([(first + i, r["word"], list(r["vec"])) for i, r in enumerate(marks)], "row long, token string, vec array<float>")
+    model_files.write_rows(rows.select(F.col("row").cast("long").alias("row"), "vec").unionByName(extra.select("row", "vec")), p["model"] + ".lex", head.sizes)
+    files.write_lines(names.select(F.col("token"), F.col("row").cast("long").alias("row")).unionByName(extra.select("token", "row")).orderBy("token").select(F.concat_ws(" ", "token", "row")), p["model"] + ".t2lex")
 
 
 def task_fsim(spark: SparkSession, p: Parameters) -> None:
@@ -230,9 +235,10 @@ def task_fsim(spark: SparkSession, p: Parameters) -> None:
 
 
 def task_sim(spark: SparkSession, p: Parameters) -> None:
-    """Reads words, pairs of words and commands (DIM=all|dep|assoc|gramm, SHORTEST, LONGEST, EXIT) from standard input."""
+    """Reads words, pairs of words and commands (DIM=ALL|DEP|ASSOC|GRAMM, MOD=WORD|PAIR, SHORTEST, LONGEST, EXIT) from
+    standard input. In MOD=PAIR a pair may also be two lines, one word each."""
     head, m = _model(spark, p)
-    m, which = m.cache(), "all"
+    m, which, paired, before = m.cache(), "all", False, None
     for line in sys.stdin:
         said = line.split()
         if not said:
@@ -241,9 +247,14 @@ def task_sim(spark: SparkSession, p: Parameters) -> None:
             break
         if said[0].startswith("DIM="):
             which = said[0][4:].lower()
+        elif said[0].startswith("MOD="):
+            paired, before = said[0][4:].upper() == "PAIR", None
+        elif paired and len(said) == 1 and said[0] not in ("SHORTEST", "LONGEST") and before is None:
+            before = said[0]
         elif said[0] in ("SHORTEST", "LONGEST"):
             (similarity.shortest if said[0] == "SHORTEST" else similarity.longest)(m, head.sizes, which).show(100, False)
-        elif len(said) == 2:
+        elif len(said) == 2 or paired:
+            said, before = (said if len(said) == 2 else [before, said[0]]), None
             rows = similarity.pairs(spark.createDataFrame([tuple(said)], "word1 string, word2 string"), m, head.sizes, p.number("a_ratio"), (which,), None)
             print(rows.first()[which])
         else:
@@ -252,7 +263,9 @@ def task_sim(spark: SparkSession, p: Parameters) -> None:
 
 def task_extract(spark: SparkSession, p: Parameters) -> None:
     head, m = _model(spark, p)
-    files.write_extracted(similarity.fused(similarity.related(m, head.sizes, p.number("rr_min_sim"))), p["rr_vocab"] + ".dep")
+    fused = similarity.fused(similarity.related(m, head.sizes, p.number("rr_min_sim")))
+    files.write_extracted(fused, p["rr_vocab"] + ".dep")
+    files.write_extracted(fused.limit(0), p["rr_vocab"] + ".assoc")  # there is a file of this kind, and nothing in it
 
 
 def task_emerge(spark: SparkSession, p: Parameters) -> None:

@@ -103,11 +103,24 @@ def histogram(model: DataFrame, dim: int, step: float = STEP, limit: float = LIM
     return model.select(F.greatest(F.lit(-limit), F.least(F.lit(limit), x)).alias("x")).groupBy(F.ceil(F.col("x") / step).alias("bin")).agg(F.count("*").alias("n"))
 
 
+def all_histograms(model: DataFrame, step: float = STEP, limit: float = LIMIT) -> DataFrame:
+    """dim, bin, n: the bins of every dimension, as those of ``histogram``."""
+    x = F.greatest(F.lit(-limit), F.least(F.lit(limit), F.col("x").cast("double")))
+    return _values(model).groupBy("dim", F.ceil(x / step).alias("bin")).agg(F.count("*").alias("n"))
+
+
 def float_classes(model: DataFrame) -> DataFrame:
     """class, n: of all components."""
     return model.select(F.explode("vec").alias("x")).groupBy(V.float_class(F.col("x")).alias("class")).agg(F.count("*").alias("n"))
 
 
+def predictions(test: DataFrame, model: DataFrame, sizes: tuple[int, int, int], a_ratio: float = 1.0) -> DataFrame:
+    """word1, word2, sim, usim, predict: the rows that a binary set's scores are made of."""
+    from arbolex.operators.similarity import pairs
+
+    return predicted(pairs(test, model, sizes, a_ratio).withColumnRenamed("all", "usim")).select("word1", "word2", "sim", "usim", "predict")
+
+
 def probe_report(rows: DataFrame) -> DataFrame:
     """list, mean, least and greatest similarity and the pairs they are of. rows: list, word1, word2, usim."""
     pair = F.concat_ws(" ", "word1", "word2")

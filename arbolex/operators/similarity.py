@@ -1,8 +1,9 @@
 """Similarity of words: nearest words, pairs, all related pairs, extremes of norms.
 
 All related pairs are found without a cross join of rows: the model is cut into blocks of BLOCK words,
-each block is a matrix, and a task multiplies one block of queries with one block of words at a time,
-keeping the best of each query. Only those bests are shuffled.
+each block is a matrix, and a task multiplies two blocks, some rows at a time, keeping the best of each
+word of either. A vector is sent once for each block (a hundred times for a million words), and only the
+bests are shuffled after that.
 """
 
 from __future__ import annotations
@@ -15,7 +16,9 @@ from pyspark.sql import functions as F
 from arbolex.functions import vectors as V
 from arbolex.functions.text import has_cyrillic
 
-BLOCK = 2000
+BLOCK = 10_000
+#: Rows multiplied with a block at once.
+ROWS = 500
 SPACES = ("all", "dep", "assoc", "gramm")
 
 
@@ -79,16 +82,16 @@ def _best(dep: int, assoc: int, min_sim: float, count: int):
         m = np.array(group.column("vec").to_pylist(), float).reshape(len(words), -1)
         d, a = unit(m[:, :dep]), unit(m[:, dep : dep + assoc])
         q, w = np.flatnonzero(left), np.flatnonzero(~left)
-        if not len(w):
-            w = q
-        sims = d[q] @ d[w].T
         out: tuple[list, ...] = ([], [], [], [])
-        for i, row in zip(q, sims, strict=True):
-            near = np.flatnonzero(row > min_sim)
-            near = near[words[w[near]] != words[i]]
-            near = near[np.lexsort([words[w[near]].astype(str), -row[near]])][:count]
-            for column, x in zip(out, ([words[i]] * len(near), words[w[near]].tolist(), row[near].tolist(), (a[w[near]] @ a[i]).tolist()), strict=True):
-                column += x
+        for one, other in ((q, w), (w, q)) if len(w) else ((q, q),):
+            for i in range(0, len(one), ROWS):
+                part = one[i : i + ROWS]
+                for x, row in zip(part, d[part] @ d[other].T, strict=True):
+                    near = np.flatnonzero(row > min_sim)
+                    near = near[words[other[near]] != words[x]]
+                    near = near[np.lexsort([words[other[near]].astype(str), -row[near]])][:count]
+                    for column, y in zip(out, ([words[x]] * len(near), words[other[near]].tolist(), row[near].tolist(), (a[other[near]] @ a[x]).tolist()), strict=True):
+                        column += y
         return pa.table(dict(zip(("w1", "w2", "dep", "assoc"), (pa.array(x, t) for x, t in zip(out, (pa.string(), pa.string(), pa.float64(), pa.float64()), strict=True)), strict=True)))
 
     return run
@@ -98,12 +101,13 @@ def related(model: DataFrame, sizes: tuple[int, int, int], min_sim: float, count
     """w1, w2, dep, assoc: the count words w2 of greatest syntactic cosine for each w1, over min_sim, and
     the pair's associative cosine. Only words with a lower-case Cyrillic letter, unless cyrillic is off."""
     words = model.where(has_cyrillic(F.col("word"))) if cyrillic else model
-    blocks = max(1, -(-words.count() // BLOCK))
+    n = words.count()
+    blocks = max(1, -(-n // BLOCK), min(12, -(-5 * n // BLOCK)))  # a few at least, for some tens of tasks
     words = words.select("word", "vec", F.pmod(F.xxhash64("word"), F.lit(blocks)).cast("int").alias("b"))
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    of_left = F.transform(every, lambda j: F.struct(F.col("b").alias("i"), j.alias("j"), F.lit(True).alias("left")))
-    of_right = F.filter(F.transform(every, lambda i: F.struct(i.alias("i"), F.col("b").alias("j"), F.lit(False).alias("left"))), lambda x: x["i"] != x["j"])
-    found = words.select("word", "vec", F.explode(F.concat(of_left, of_right)).alias("x")).select("word", "vec", "x.*")
+    # each two blocks meet once: the earlier one on the left
+    first = F.transform(F.sequence(F.col("b"), F.lit(blocks - 1)), lambda j: F.struct(F.col("b").alias("i"), j.alias("j"), F.lit(True).alias("left")))
+    second = F.transform(F.slice(F.sequence(F.lit(0), F.lit(blocks)), 1, F.col("b")), lambda i: F.struct(i.alias("i"), F.col("b").alias("j"), F.lit(False).alias("left")))
+    found = words.select("word", "vec", F.explode(F.concat(first, second)).alias("x")).select("word", "vec", "x.*")
     found = found.groupBy("i", "j").applyInArrow(_best(sizes[0], sizes[1], min_sim, count), "w1 string, w2 string, dep double, assoc double")
     best = F.row_number().over(Window.partitionBy("w1").orderBy(F.desc("dep"), "w2"))
     return found.withColumn("__r", best).where(F.col("__r") <= count).drop("__r")

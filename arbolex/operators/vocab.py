@@ -76,6 +76,12 @@ def context_counts(sentences: DataFrame, column: str = "lemma", use_deprel: bool
     return seen.groupBy("v", "mark", "r").agg(F.count("*").alias("cn")).select(F.concat("v", "mark", "r").alias("word"), "cn")
 
 
+def totals(sentences: DataFrame) -> DataFrame:
+    """sentences, tokens: one row; sentences without tokens do not count."""
+    rows = tokens(sentences).groupBy("sent_id").agg(F.count("*").alias("n")) if "toks" not in sentences.columns else sentences.select(F.size("toks").alias("n")).where("n > 0")
+    return rows.agg(F.count("*").alias("sentences"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("tokens"))
+
+
 def at_least(vocab: DataFrame, count: int, exempt: DataFrame | None = None, exempt_count: int = 5) -> DataFrame:
     """Words of at least count; words of the exempt list from exempt_count on."""
     if exempt is None:

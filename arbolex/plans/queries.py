@@ -183,6 +183,11 @@ def noise_distribution(spark, sf):
     return V.noise_distribution(_contexts(spark, sf), 1e-3).withColumn("share", _r("share", 9))
 
 
+@query(f"WITH {PARSE_SQL} SELECT count(DISTINCT sent_id) AS sentences, count(*) AS tokens FROM toks")
+def corpus_totals(spark, sf):
+    return V.totals(flat(_docs(spark, sf), heads=False))
+
+
 # --- training examples ------------------------------------------------------------------------------
 @query(f"""WITH {PARSE_SQL}, {LEMMAS}, v AS (SELECT word, {INDEX} FROM lemmas), k AS MATERIALIZED (SELECT sent_id, pos, lemma, idx FROM toks JOIN v ON word = lemma),
 o AS (SELECT DISTINCT sent_id, idx FROM k WHERE lemma NOT IN {STOPS}), s AS (SELECT sent_id, count(*) AS n, sum(idx) AS total FROM o GROUP BY sent_id)
@@ -233,6 +238,12 @@ def relation_pairs_all(spark, sf):
     return X.relation_pairs(_lines(spark, sf), "all")
 
 
+@query(f"""WITH {LINES}, i AS (SELECT line, unnest(items) AS item FROM lines), p AS (SELECT a.item AS x, b.item AS y FROM i a JOIN i b ON a.line = b.line AND a.item < b.item)
+SELECT count(*) AS pairs, (SELECT count(DISTINCT w) FROM (SELECT x AS w FROM p UNION SELECT y FROM p)) AS words FROM p""")
+def relation_totals(spark, sf):
+    return X.pair_totals(X.relation_pairs(_lines(spark, sf), "all"))
+
+
 # --- models and similarity --------------------------------------------------------------------------
 def _cos(a: str, b: str) -> str:
     return f"list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) / nullif(sqrt(list_sum(list_transform({a}, lambda x: x::DOUBLE * x))) * sqrt(list_sum(list_transform({b}, lambda x: x::DOUBLE * x))), 0)"
@@ -433,6 +444,23 @@ def dim_histogram(spark, sf):
     return E.histogram(_model(spark, sf), 3)
 
 
+@query(f"WITH {MODEL_SQL}, {VALUES} SELECT dim::INT AS dim, ceil(greatest(-3.0::DOUBLE, least(3.0::DOUBLE, x)) / 0.03::DOUBLE)::BIGINT AS bin, count(*) AS n FROM vals GROUP BY dim, bin")
+def dim_histograms(spark, sf):
+    return E.all_histograms(_model(spark, sf))
+
+
+@query(f"""WITH {MODEL_SQL}, {COUNTS}, k AS (SELECT c.* FROM counts c JOIN model ON word = lemma WHERE cnt >= 50), o AS (SELECT token, count(*) AS n, min(lemma) AS lemma FROM k GROUP BY token)
+SELECT (SELECT count(*) FROM model) AS lemmas, (SELECT count(DISTINCT lemma) FROM k) AS used_lemmas, (SELECT count(DISTINCT token) FROM counts) AS tokens,
+  (SELECT count(DISTINCT token) FROM counts) - count(*) AS skipped, count(DISTINCT CASE WHEN n = 1 THEN lemma END) AS clear, coalesce(sum((n > 1)::INT), 0)::BIGINT AS mixed FROM o""")
+def shared_row_totals(spark, sf):
+    return M.shared_row_totals(_counts(spark, sf), _model(spark, sf))
+
+
+@query(f"""WITH {USIM} SELECT word1, word2, sim, usim, (row_number() OVER (PARTITION BY word1 ORDER BY usim DESC, word2) <= count(*) OVER (PARTITION BY word1) // 2)::INT AS predict FROM t""")
+def prediction_rows(spark, sf):
+    return E.predicted(_usim(spark, sf)).select("word1", "word2", "sim", "usim", "predict")
+
+
 @query(f"""WITH {MODEL_SQL}, {VALUES}, u AS (SELECT x, min(word) AS w FROM vals GROUP BY x)
 (SELECT 'min' AS kind, round(x, 6) AS value FROM u ORDER BY x LIMIT 5) UNION ALL (SELECT 'max', round(x, 6) FROM u ORDER BY x DESC LIMIT 5)""")
 def dim_extremes(spark, sf):
@@ -469,6 +497,43 @@ def number_fold(spark, sf):
     return rows.groupBy(word.alias("word")).agg(F.count("*").alias("n")).select("word", fold_number(F.col("word")).alias("folded"), "n")
 
 
+#: Tokens that meet every rule of the clean-up that looks at one token alone.
+RAW_TOKENS = [
+    ("Кот", "кот", "Ncmsny", "предик"), ("15-Летие", "15-летие", "Ncnsnn", "1-компл"), (".", ".", "-", "PUNC"), ("А", "а", "Npmsny", "аппоз"), ("Слово", "<unknown>", "Ncnsnn", "обст"),
+    ("XX", "@card@", "Mc", "ROOT"), ("Дом", "...", "Ncmsln", "предл"), ("двадцать", "@num@", "Mc", "количест"), ("!", "знак", "-", "обст"), ("Б", "бб", "Npmsny", "аппоз"),
+    ("3-Й", "3-й", "Afpmsnf", "опред"), ("Ё", "ё", "Npfsny", "вводн"), ("1,5-кратный", "1,5-кратный", "Afpmsnf", "опред"), ("—", "—", "-", "сочин"), ("В", "в", "Sp-l", "обст"), ("X", "x", "Npmsny", "предик"),
+]
+
+
+def _clean_sql() -> str:
+    from arbolex.functions.text import INITIALS, NUMBER_FOLD, NUMERIC_LEMMAS, PUNCTUATION
+    from arbolex.operators.fit import RELATIONS
+
+    said = lambda xs: "(" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + ")"
+    rows = ", ".join(f"({i}, {said(t)[1:-1]})" for i, t in enumerate(RAW_TOKENS))
+    fold = lambda c: f"regexp_replace({c}, '{NUMBER_FOLD}', '@num@-\\1')"
+    return f"""WITH raw(k, form, lemma, feats, deprel) AS (VALUES {rows}), n AS (SELECT l_partkey % {len(RAW_TOKENS)} AS k, count(*) AS n FROM lineitem GROUP BY k),
+a AS (SELECT k, lower(form) AS form, lower(form) IN {said(PUNCTUATION)} AS mark, feats, deprel,
+  CASE WHEN lemma IN ('<unknown>', '@card@') OR (lemma IN {said(PUNCTUATION)} AND lower(form) NOT IN {said(PUNCTUATION)}) THEN '_' ELSE lemma END AS lemma FROM raw),
+b AS (SELECT k, mark, feats, deprel, CASE WHEN mark OR deprel = 'PUNC' THEN form WHEN lemma IN {said(NUMERIC_LEMMAS)} THEN lemma ELSE {fold('form')} END AS form,
+  CASE WHEN mark OR deprel = 'PUNC' OR lemma IN {said(NUMERIC_LEMMAS)} THEN lemma ELSE {fold('lemma')} END AS lemma FROM a)
+SELECT form, CASE WHEN regexp_matches(form, '^[{INITIALS}]$') AND length(lemma) = 1 AND feats LIKE 'Np%' THEN lemma || '_NP' ELSE lemma END AS lemma,
+  CASE WHEN mark THEN 'PUNC' WHEN deprel IN {said(RELATIONS)} THEN deprel ELSE '_' END AS deprel, n FROM b JOIN n USING (k)"""
+
+
+@query(_clean_sql())
+def fit_tokens(spark, sf):
+    """The rules of the clean-up that need no other token, on tokens dealt out over the rows of lineitem."""
+    from arbolex.operators.fit import cleaned
+    from arbolex.sources.conll import FIELDS
+
+    raw = spark.createDataFrame([(i, *t) for i, t in enumerate(RAW_TOKENS)], "k long, form string, lemma string, feats string, deprel string")
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").select((F.col("l_partkey") % len(RAW_TOKENS)).alias("k")).join(raw, "k")
+    toks = F.array(F.struct(*[F.col(f).alias(f) if f in raw.columns else F.lit("_").alias(f) for f in FIELDS]))
+    rows = rows.select(F.explode(cleaned(toks, True)).alias("t")).select("t.form", "t.lemma", "t.deprel")
+    return rows.groupBy("form", "lemma", "deprel").agg(F.count("*").alias("n"))
+
+
 # --- rewriting and training: no SQL says them -------------------------------------------------------
 @query(None)
 def fit_sentences(spark, sf):

@@ -120,3 +120,20 @@ def read_extracted(spark: SparkSession, path: str, suffix: str = "dep") -> DataF
 
 def write_extracted(rows: DataFrame, path: str) -> None:
     rows.orderBy("w1", F.desc("score"), "w2").select(F.concat_ws(" ", "w1", "w2", F.format_string("%.6f", "score"))).write.text(path)
+
+
+def write_lines(rows: DataFrame, path: str) -> None:
+    """The one column's values as lines of one file, in the rows' order."""
+    spark = rows.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    part: list[str] = []
+    try:
+        for row in rows.toLocalIterator(prefetchPartitions=True):
+            part.append(row[0] + "\n")
+            if len(part) == 10_000:
+                out.write("".join(part).encode())
+                part = []
+        out.write("".join(part).encode())
+    finally:
+        out.close()

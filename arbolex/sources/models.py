@@ -95,16 +95,41 @@ def read_model(spark: SparkSession, path: str, kind: str = "parts", normalise: b
     return head, rows
 
 
-def write_model(model: DataFrame, path: str, sizes: tuple[int, int, int], kind: str = "parts") -> None:
-    """One file at path (a Hadoop path or URI), rows by idx. The format is one file, so the rows stream through the driver."""
-    spark = model.sparkSession
-    count, size = model.count(), model.select(F.max(F.size("vec"))).first()[0] or sum(sizes)
+#: Rows that go to a file in one call.
+AT_ONCE = 2_000
+
+
+def _stream(rows: DataFrame, path: str, first: bytes, body) -> None:
+    """One file at path: first, then body of each lot of rows, in their order."""
+    spark = rows.sparkSession
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    part: list = []
     try:
-        out.write(Header(count, size, *sizes).line(kind))
-        for row in model.orderBy("idx").select("word", "vec").toLocalIterator(prefetchPartitions=True):
-            body = build(Header(0, size), iter([(row["word"], row["vec"])]), kind)
-            out.write(body[body.index(b"\n") + 1 :])
+        out.write(first)
+        for row in rows.toLocalIterator(prefetchPartitions=True):
+            part.append(row)
+            if len(part) == AT_ONCE:
+                out.write(body(part))
+                part = []
+        if part:
+            out.write(body(part))
     finally:
         out.close()
+
+
+def write_model(model: DataFrame, path: str, sizes: tuple[int, int, int], kind: str = "parts") -> None:
+    """One file at path (a Hadoop path or URI), rows by idx. The format is one file, so the rows stream through the driver."""
+    count, size = model.count(), model.select(F.max(F.size("vec"))).first()[0] or sum(sizes)
+
+    def body(rows: list) -> bytes:
+        said = build(Header(0, size), iter([(r["word"], r["vec"]) for r in rows]), kind)
+        return said[said.index(b"\n") + 1 :]
+
+    _stream(model.orderBy("idx").select("word", "vec"), path, Header(count, size, *sizes).line(kind), body)
+
+
+def write_rows(rows: DataFrame, path: str, sizes: tuple[int, int, int]) -> None:
+    """Vectors without words, by row: a line of four sizes (rows, all dimensions, syntactic, associative), then float32 values alone."""
+    first = f"{rows.count()} {sum(sizes)} {sizes[0]} {sizes[1]}\n".encode()
+    _stream(rows.orderBy("row").select("vec"), path, first, lambda part: b"".join(struct.pack(f"<{len(r['vec'])}f", *r["vec"]) for r in part))

@@ -42,6 +42,13 @@ def test_from_raw_text_to_models(spark, corpus, capsys):
     run(corpus, "balance", model="@back", a_ratio=0.5)
     run(corpus, "extract", model="@m", rr_vocab="@rr", rr_min_sim=-1)
     assert files.read_extracted(spark, f"{corpus}/rr.dep").count() == 30
+    assert files.read_extracted(spark, f"{corpus}/rr.assoc").count() == 0
+    run(corpus, "rue", model="@m", tl_map="@tl")
+    names = dict(r.value.rsplit(" ", 1) for r in spark.read.text(f"{corpus}/m.t2lex").collect())
+    lex = bytes(spark.read.format("binaryFile").load(f"{corpus}/m.lex").first().content)
+    line, _, body = lex.partition(b"\n")
+    count = len(set(names.values()))
+    assert "«" in names and line == f"{count} 7 4 3".encode() and len(body) == count * 7 * 4
     run(corpus, "toks", model="@m", tl_map="@tl")
     assert models.read_model(spark, f"{corpus}/m")[0].words == 6
     run(corpus, "toks_gramm", model="@m", train="@fit", vocab_t="@t", size_g=2, iter=1)
@@ -56,6 +63,17 @@ def test_from_raw_text_to_models(spark, corpus, capsys):
     assert "normal" in capsys.readouterr().out
 
 
+def test_interactive(spark, corpus, capsys, monkeypatch):
+    import io
+
+    m = spark.createDataFrame([(0, "a", [1.0, 0.0]), (1, "b", [1.0, 1.0]), (2, "c", [0.0, 1.0])], "idx int, word string, vec array<float>")
+    models.write_model(m, f"{corpus}/tiny", (2, 0, 0))
+    monkeypatch.setattr("sys.stdin", io.StringIO("DIM=ALL\nMOD=PAIR\na\nb\na c\nMOD=WORD\na\nEXIT\nb\n"))
+    run(corpus, "sim", model="@tiny")
+    out = capsys.readouterr().out.splitlines()
+    assert abs(float(out[0]) - 0.5**0.5) < 1e-6 and float(out[1]) == 0.0 and sum("|b" in x for x in out) == 1
+
+
 def test_unknown_task(capsys):
     assert cli.main(["-task", "nothing"]) == 1
     assert "vocab" in capsys.readouterr().err

@@ -60,6 +60,35 @@ def test_context_lookup_is_not_a_join(spark):
     assert "Join" not in plan and "ReadSchema: struct<text:string>" in plan
 
 
+def test_lemmas_are_made_once(spark):
+    """A word's lemma is worked out in one place of the plan, after words are counted."""
+    from arbolex.operators.vocab import lemma_counts
+    from arbolex.plans.views import counted
+
+    plan = lemma_counts(counted(spark.read.parquet(f"{DATA}/documents.parquet")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_replace") == 1 and plan.index("regexp_replace") < plan.index("partial_count")
+
+
+def test_related_in_blocks(spark, monkeypatch):
+    """Many small blocks give the pairs that one block gives."""
+    from arbolex.operators import similarity
+
+    m = plans._model(spark, DATA)
+    ask = lambda: sorted((r.w1, r.w2, round(r.dep, 9), round(r.assoc, 9)) for r in similarity.related(m, plans.SIZES, 0.2, 7, cyrillic=False).collect())
+    whole = ask()
+    monkeypatch.setattr(similarity, "BLOCK", 90)
+    monkeypatch.setattr(similarity, "ROWS", 13)
+    assert whole and ask() == whole
+
+
+def test_random_pairs_repeat(spark):
+    from arbolex.operators.examples import random_pairs
+
+    lines = spark.createDataFrame([(0, ["a", "b", "c"]), (1, ["d", "e"])], "line int, items array<string>")
+    one = [tuple(r) for r in random_pairs(lines, 2, 5).collect()]
+    assert len(one) == 2 and one == [tuple(r) for r in random_pairs(lines.repartition(3), 2, 5).collect()]
+
+
 def test_streaming_vocabulary(spark, tmp_path):
     from arbolex.streaming.vocab import lemma_stream, sentence_stream
 
