@@ -13,7 +13,11 @@ Stages, each distributed, none that emits all pairs of a group:
 4. Where a star leaves a group of candidates in several components, links may run between its other
    members. Those outside the group's largest component are compared with all of the group, in blocks of
    about BLOCK sets: a block pair's similarities come at once from one product of incidence matrices,
-   exactly, and only links that join components leave it. No cap: the number of blocks grows instead.
+   exactly, and only links that join components leave it. A group of over DENSE such members, as many
+   documents with the same frame make, is first cut by what its members share: one band, then, where that
+   is still over DENSE, two, then three (a pair at 0.8 shares fewer than three of its bands once in 8 * 10^4;
+   it needs them only if each band that it shares is such a large group). So the number of sets compared
+   grows with the documents. No cap: what three bands leave together is compared in blocks, however much.
 5. Components of all links.
 
 Every group that a task holds is bounded: a block, or one document.
@@ -35,6 +39,8 @@ from arbolex.llm.graph import components
 BANDS, ROWS = 32, 4
 SLACK = 0.2
 BLOCK = 200
+#: Members outside the main component from which a group is cut by its members' bands.
+DENSE = 10 * BLOCK
 
 
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -195,7 +201,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     named_by = stored(components(links, "a", "b"), "components")
     label = nodes.select("node", "doc_id", "n").join(named_by, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    more = components(stored(_rest(star, named_by, label, texts, k, percent), "more"), "a", "b").select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    more = components(stored(_rest(star, named_by, label, nodes, texts, k, percent), "more"), "a", "b").select(F.col("node").alias("component"), F.col("component").alias("whole"))
     label = label.join(more, "component", "left").select("node", "doc_id", F.coalesce("whole", "component").alias("component"))
     least = label.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     label = label.select("node", "component").join(least, "component").select("node", "component_id")
@@ -204,20 +210,58 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     return linked.union(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _rest(star: DataFrame, named_by: DataFrame, label: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+def _sized(rows: DataFrame) -> DataFrame:
+    """Of rows (group, node, component, n), those of groups with several components: with the group's main component,
+    its members and shingles, and those of the others. One aggregate by component, then by group."""
+    parts = rows.groupBy("group", "component").agg(F.count("*").alias("members"), F.sum("n").alias("elements"))
+    whole = parts.groupBy("group").agg(F.max(F.struct("members", "component", "elements")).alias("x"), F.sum("members").alias("all"), F.sum("elements").alias("every")).where(F.col("all") > F.col("x.members"))
+    whole = whole.select("group", F.col("x.component").alias("main"), F.col("x.members").alias("members"), F.col("x.elements").alias("elements"), (F.col("all") - F.col("x.members")).alias("other_members"), (F.col("every") - F.col("x.elements")).alias("other_elements"))
+    return rows.join(whole, "group")
+
+
+def _buckets(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The groups of one large group of candidates: rows as _sized gives them. Members that share a band are a group;
+    a group still of over DENSE others is cut anew by what its members share besides: two bands, then three."""
+    label = rows.select("node", "component", "n").distinct()
+    bands = F.array(*[F.xxhash64(F.lit(i), F.substring("registers", 1 + 2 * ROWS * i, 2 * ROWS)) for i in range(BANDS)])
+    level = label.join(nodes.select("node", bands.alias("groups")), "node").select("node", "component", "n", F.explode("groups").alias("group"))
+    after = lambda c, i: F.slice(c, i + 2, F.size(c))
+    twos = lambda c: F.flatten(F.transform(c, lambda x, i: F.transform(after(c, i), lambda y: F.xxhash64(x, y))))
+    threes = lambda c: F.flatten(F.transform(c, lambda x, i: F.transform(twos(after(c, i)), lambda y: F.xxhash64(x, y))))
+    out, keys = None, None
+    for cut in (twos, threes, None):
+        sized = stored(_sized(level), "buckets")
+        fine = sized if cut is None else sized.where(F.col("other_members") <= DENSE)
+        out = fine if out is None else out.unionByName(fine)
+        if cut is None:
+            break
+        big = sized.where(F.col("other_members") > DENSE)
+        if big.isEmpty():
+            break
+        if keys is None:  # BANDS keys a node at most
+            keys = stored(big.groupBy("node", "component", "n").agg(F.sort_array(F.collect_set("group")).alias("keys")), "keys")
+        else:
+            keys = keys.join(big.select("node").distinct(), "node", "left_semi")
+        level = keys.select("node", "component", "n", F.explode(cut(F.col("keys"))).alias("group"))
+    # groups of the same members say the same
+    same = out.groupBy("group").agg(F.count("*").alias("c"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s")).groupBy("c", "s").agg(F.min("group").alias("group"))
+    return out.join(same.select("group"), "group", "left_semi")
+
+
+def _rest(star: DataFrame, named_by: DataFrame, label: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """(a, b): components to be joined, by links between members of one group of candidates that the stars have left in different components."""
     open_ = star
     for c in ("a", "b"):
         open_ = open_.join(named_by.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")), c, "left").withColumn(f"c{c}", F.coalesce(f"c{c}", c))
     groups = stored(components(open_.select("ca", "cb"), "ca", "cb"), "groups").select(F.col("node").alias("component"), F.col("component").alias("group"))
-    groups = label.select("node", "component", "n").join(groups, "component")
-    parts = groups.groupBy("group", "component").agg(F.count("*").alias("members"), F.sum("n").alias("elements"))
-    whole = parts.groupBy("group").agg(F.max_by("component", F.struct("members", "component")).alias("main"), F.max(F.struct("members", "component", "elements")).alias("x"), F.sum("members").alias("all"), F.sum("elements").alias("every"))
+    rows = stored(_sized(label.select("node", "component", "n").join(groups, "component")), "open")
+    large = rows.where(F.col("other_members") > DENSE)
+    if not large.isEmpty():
+        rows = rows.where(F.col("other_members") <= DENSE).unionByName(_buckets(large, nodes))
     blocks = lambda members, elements: F.greatest(F.lit(1), F.ceil(members / BLOCK), F.ceil(elements / (2500 * BLOCK))).cast("int")
-    whole = whole.select("group", "main", blocks(F.col("all") - F.col("x.members"), F.col("every") - F.col("x.elements")).alias("others"), blocks(F.col("x.members"), F.col("x.elements")).alias("mains"))
-    rows = groups.join(whole, "group").withColumn("other", F.col("component") != F.col("main"))
+    rows = rows.select("group", "node", "component", (F.col("component") != F.col("main")).alias("other"), blocks(F.col("other_members"), F.col("other_elements")).alias("others"), blocks(F.col("members"), F.col("elements")).alias("mains"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("other"), F.col("others")).otherwise(F.col("mains"))).cast("int"))
-    sets = rows.select("node").join(texts, "node").mapInArrow(_sets(k), "node long, set binary")
+    sets = rows.select("node").distinct().join(texts, "node").mapInArrow(_sets(k), "node long, set binary")
     pair = lambda i, j, first: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(first).alias("first"))
     own, others = F.col("own"), F.col("others")
     of_main = F.transform(F.sequence(F.lit(0), others - 1), lambda i: pair(i, others + own, False))

@@ -65,6 +65,37 @@ def test_near_duplicates_of_a_large_group(spark, monkeypatch):
     assert Counter(tuple(r) for r in neardup.near_duplicates(df, 1).collect()) == Counter(brute_components(rows, 1, 80))
 
 
+def test_near_duplicates_in_one_frame(spark, monkeypatch):
+    """Documents that share half their words with all, and some of them more with one other: one large group of candidates
+    whose stars leave nearly everything open. It is cut by bands once, twice and thrice, and nothing is lost."""
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    r, frame, rows = random.Random(9), [f"f{i}" for i in range(66)], []
+    for i in range(160):
+        rows.append((2 * i, " ".join([*frame, *(own := [f"o{i}.{j}" for j in range(40)])])))
+        changed = [w if j >= r.randrange(4, 14) else f"c{i}.{j}" for j, w in enumerate(own)]
+        rows.append((2 * i + 1, " ".join([*frame, *(changed if i % 2 else [f"n{i}.{j}" for j in range(40)])])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = Counter(brute_components(rows, 1, 80))
+    assert 0 < sum(not kept for *_, kept in want) < 81
+    for dense in (8, 40):
+        monkeypatch.setattr(neardup, "DENSE", dense)
+        assert Counter(tuple(x) for x in neardup.near_duplicates(df, 1).collect()) == want
+
+
+def test_recall_of_pairs_near_the_threshold(spark):
+    """Three thousand pairs at similarities of 0.76 to 0.86, one by one known: those at 0.8 or more are all found."""
+    rows, want, r = [], {}, random.Random(3)
+    for i in range(3000):
+        n = r.randrange(80, 200)
+        same = round(n * r.uniform(1.52 / 1.76, 1.72 / 1.86))
+        a = [f"a{i}.{j}" for j in range(n)]
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(a[:same] + [f"b{i}.{j}" for j in range(n - same)]))]
+        want[2 * i + 1] = 2 * i if 100 * same >= 80 * (2 * n - same) else 2 * i + 1
+    got = {x.doc_id: x.component_id for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 1).collect()}
+    assert 500 < sum(k != v for k, v in want.items()) < 2500
+    assert {k: v for k, v in got.items() if k % 2} == want
+
+
 def test_near_duplicates_empty(empty):
     assert neardup.near_duplicates(empty).count() == 0
 
