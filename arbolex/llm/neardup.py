@@ -41,6 +41,8 @@ SLACK = 0.2
 BLOCK = 200
 #: Members outside the main component from which a group is cut by its members' bands.
 DENSE = 10 * BLOCK
+#: Bound of the number of groups whose sizes are broadcast.
+HOT = 2_000
 
 
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -215,8 +217,15 @@ def _sized(rows: DataFrame) -> DataFrame:
     its members and shingles, and those of the others. One aggregate by component, then by group."""
     parts = rows.groupBy("group", "component").agg(F.count("*").alias("members"), F.sum("n").alias("elements"))
     whole = parts.groupBy("group").agg(F.max(F.struct("members", "component", "elements")).alias("x"), F.sum("members").alias("all"), F.sum("elements").alias("every")).where(F.col("all") > F.col("x.members"))
-    whole = whole.select("group", F.col("x.component").alias("main"), F.col("x.members").alias("members"), F.col("x.elements").alias("elements"), (F.col("all") - F.col("x.members")).alias("other_members"), (F.col("every") - F.col("x.elements")).alias("other_elements"))
-    return rows.join(whole, "group")
+    whole = whole.select("group", F.col("x.component").alias("main"), F.col("x.members").alias("members"), F.col("x.elements").alias("elements"), (F.col("all") - F.col("x.members")).alias("other_members"), (F.col("every") - F.col("x.elements")).alias("other_elements"), F.col("all").alias("every_row"))
+    # groups of over 1 / HOT of all rows are fewer than HOT: they are broadcast, and their rows dealt out by node
+    facts = F.struct("main", "members", "elements", "other_members", "other_elements")
+    whole = stored(whole.select("group", facts.alias("facts"), "every_row"), "sizes")
+    often = F.col("every_row") * HOT > whole.agg(F.sum("every_row")).scalar()
+    hot = F.broadcast(whole.where(often).select("group", F.col("facts").alias("hot")))
+    rest = whole.where(~often).select(F.col("group").alias("key"), "facts")
+    rows = rows.join(hot, "group", "left").withColumn("key", F.when(F.col("hot").isNotNull(), F.col("node")).otherwise(F.col("group"))).join(rest, "key", "left")
+    return rows.withColumn("facts", F.coalesce("hot", "facts")).where("facts IS NOT NULL").select("group", "node", "component", "n", "facts.*")
 
 
 def _buckets(rows: DataFrame, nodes: DataFrame) -> DataFrame:
