@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arbolex.llm.common import KEY, of_row, refuse_clashes, row_key, whole_row
+from arbolex.llm.common import KEY, of_row, refuse_clashes, row_key, stored, whole_row
 
 #: kind: (pattern, group whose length counts, least length, role, strong, pattern the value must also have)
 KINDS = {
@@ -81,7 +81,7 @@ def secret_scan(docs: DataFrame, scope: int = 200) -> DataFrame:
     """
     refuse_clashes(docs, "doc_id", "text")
     docs = docs.drop("spans")
-    found = parts(docs)
+    found = stored(parts(docs), "parts")  # read three times below; texts are searched once
     spans = found.where("strong").unionByName(linked(found, scope))
     rank = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)])[F.col("kind")]
     spans = spans.groupBy(*KEY).agg(F.array_sort(F.collect_set(F.struct("start", rank.alias("rank"), "kind", "end"))).alias("spans"))
