@@ -66,6 +66,12 @@ def test_stages(spark, folder):
     assert Counter(d for d, *_ in map(key, whole)).keys() == Counter(d for d, *_ in map(key, out)).keys()
 
 
+def test_empty_tables(spark, folder, tmp_path):
+    for name in ("documents", "benchmark", "labels"):
+        spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"file://{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
+
+
 def test_queries_are_registered(spark):
     import __spark_entry__
 

@@ -229,6 +229,17 @@ def test_packing(docs, rows, capacity):
     assert len(sequences) <= sum(r.length for r in got) / capacity * 1.25 + 8
 
 
+def test_packing_ties(spark):
+    """Documents of one length, and repeated rows: each is packed once, as many to a sequence as have room."""
+    df = spark.createDataFrame([(i // 2, "one two three four five") for i in range(400)], "doc_id long, text string")
+    got = pieces(pack(df, BYTE, 64, 0)).collect()
+    n = got[0].doc_tokens
+    assert len(got) == 400 and {(r.start, r.length, r.doc_tokens) for r in got} == {(0, n, n)}
+    assert Counter(r.doc_id for r in got) == Counter(i // 2 for i in range(400))
+    full = Counter(r.sequence_id for r in got).values()
+    assert max(full) == 64 // n and sum(x < 64 // n for x in full) <= 8
+
+
 def test_packing_empty(empty):
     assert pack(empty, BYTE).count() == 0
 
