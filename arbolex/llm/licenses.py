@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arbolex.llm import textarrays
-from arbolex.llm.common import KEY, refuse_clashes, row_key
+from arbolex.llm.common import KEY, refuse_clashes, row_key, stored
 
 # Phrases and passages of well-known licences.
 #: Base phrases; each place counts.
@@ -124,23 +124,25 @@ def _template_grams() -> list[tuple[int, int, int]]:
     return out
 
 
+_ROLLING = "__k1 long, __k2 long, grams array<struct<place:int,h:long>>"
+
+
 def _rolling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each document its number of words n, and its grams' hashes: those of phrases at places 0.., those of passages at n.."""
+    """Of each document its grams: place of the first word, and hash; those of phrases and of passages have different hashes."""
     for batch in batches:
-        sizes, hashes = [], []
+        row, place, hashes, first = [], [], [], 0
         for rows, grams in _grams(batch.column("text")):
-            n = np.diff(rows)
-            first = np.concatenate([[0], np.cumsum(2 * n)])
-            out = np.zeros(first[-1], np.uint64)
-            for j, (at, h) in enumerate(grams):
-                row = np.searchsorted(rows, at, "right") - 1
-                out[first[row] + j * n[row] + at - rows[row]] = h
-            sizes.append(n)
-            hashes.append(out.view(np.int64))
-        n = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
-        offsets = np.concatenate([[0], np.cumsum(2 * n)]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(hashes) if hashes else np.zeros(0, np.int64)))
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in KEY), pa.array(n.astype(np.int32)), lists], [*KEY, "n", "grams"])
+            for at, h in grams:
+                own = np.searchsorted(rows, at, "right") - 1
+                row.append(own + first)
+                place.append(at - rows[own])
+                hashes.append(h)
+            first += len(rows) - 1
+        row, place, hashes = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (row, place, hashes))
+        order = np.argsort(row, kind="stable")
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(batch)))]).astype(np.int32)
+        each = pa.StructArray.from_arrays([pa.array(place[order].astype(np.int32)), pa.array(hashes[order].view(np.int64))], ["place", "h"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in KEY), pa.ListArray.from_arrays(pa.array(offsets), each)], [*KEY, "grams"])
 
 
 def spans(docs: DataFrame) -> DataFrame:
@@ -148,11 +150,10 @@ def spans(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     grams = spark.createDataFrame(_template_grams(), "h long, template int, at int")
     sizes = spark.createDataFrame([(i, len(w), e) for i, (w, _, _, e) in enumerate(TEMPLATES)], "template int, size int, exact boolean")
-    each = docs.select(*row_key("doc_id", "text"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_rolling, "__k1 long, __k2 long, n int, grams array<long>")
-    each = each.select(*KEY, "n", F.posexplode("grams").alias("place", "h"))
-    votes = each.join(F.broadcast(grams), "h").select(*KEY, "template", F.when(F.col("place") >= F.col("n"), F.col("place") - F.col("n")).otherwise(F.col("place")).alias("place"), "at")
+    each = docs.select(*row_key("doc_id", "text"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_rolling, _ROLLING)
+    votes = each.select(*KEY, F.explode("grams").alias("g")).select(*KEY, "g.*").join(F.broadcast(grams), "h")
     votes = votes.groupBy(*KEY, "template", (F.col("place") - F.col("at")).alias("diagonal")).agg(F.count_distinct("at").alias("votes"), F.min("place").alias("start"), F.max("place").alias("end"))
-    votes = votes.join(F.broadcast(sizes), "template")
+    votes = stored(votes, "votes").join(F.broadcast(sizes), "template")  # read twice below; texts are hashed once
     exact = votes.where("exact AND votes = size - 1").select(*KEY, "template", "start", (F.col("start") + F.col("size")).alias("end"), "votes")
     loose = votes.where("NOT exact")
     order = Window.partitionBy(*KEY, "template").orderBy("diagonal")
