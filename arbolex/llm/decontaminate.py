@@ -20,15 +20,32 @@ from arbolex.llm.common import KEY, lower_ascii, of_row, refuse_clashes, row_key
 MAX_BROADCAST = 2_000_000
 
 
-def _grams(w: str, size: int, step: int) -> Column:
-    """(position, text of size words) at every step-th position."""
-    last = F.size(w) - size
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last, F.lit(step)), lambda i: F.struct(i.alias("pos"), F.array_join(F.slice(w, i + 1, F.lit(size)), " ").alias("gram"))))
+def _probe(size: int) -> tuple[int, int]:
+    """At which steps windows of size words are probed, and how many words a probe takes."""
+    step = max(1, size // 2)
+    return step, size - step + 1
 
 
-def _hashes(w: str, size: int, step: int) -> Column:
-    last = F.size(w) - size
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last, F.lit(step)), lambda i: F.xxhash64(F.slice(w, i + 1, F.lit(size)))))
+def _grams(w: str, sizes: list[int]) -> Column:
+    """(pos, size, gram) of every window, for all sizes at once."""
+
+    def of(size: int) -> Column:
+        last = F.size(w) - size
+        each = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("pos"), F.lit(size).alias("size"), F.array_join(F.slice(w, i + 1, F.lit(size)), " ").alias("gram")))
+        return F.when(last >= 0, each).otherwise(F.array().cast("array<struct<pos:int,size:int,gram:string>>"))
+
+    return F.concat(*map(of, sizes))
+
+
+def _hashes(w: str, probes: list[tuple[int, int]]) -> Column:
+    """Hashes of each probe's number of words at its steps, for all probes at once."""
+
+    def of(step: int, part: int) -> Column:
+        last = F.size(w) - part
+        each = F.transform(F.sequence(F.lit(0), last, F.lit(step)), lambda i: F.xxhash64(F.slice(w, i + 1, F.lit(part))))
+        return F.when(last >= 0, each).otherwise(F.array().cast("array<bigint>"))
+
+    return F.concat(*(of(*p) for p in probes))
 
 
 def windows(items: DataFrame, n: int) -> DataFrame:
@@ -47,29 +64,24 @@ def hits(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
     small = sum(sizes.values()) * n <= MAX_BROADCAST
     hint = F.broadcast if small else (lambda df: df)
     base = docs.select(*row_key("doc_id", "text"), words(lower_ascii(F.col("text"))).alias("w"))
-    found, exact = None, None
-    for size in sorted(sizes):
-        step = max(1, size // 2)
-        part = size - step + 1
-        keys = grams.where(F.col("size") == size).select(F.explode(_hashes_of_gram(part)).alias("__h")).distinct()
-        near = base.select(*KEY, F.explode(_hashes("w", part, step)).alias("__h")).join(hint(keys), "__h", "left_semi").select(*KEY)
-        found = near if found is None else found.union(near)
-    if found is None:
+    if not sizes:
         return docs.select(*row_key("doc_id", "text"), F.array().cast("array<int>").alias("hit"), F.array().cast("array<string>").alias("item_ids")).where(F.lit(False))
+    # one pass for all sizes of window
+    keys = grams.select(F.explode(_hashes_of_gram(sorted(sizes))).alias("__h")).distinct()
+    found = base.select(*KEY, F.explode(_hashes("w", sorted({_probe(s) for s in sizes}))).alias("__h")).join(hint(keys), "__h", "left_semi").select(*KEY)
     # texts are shuffled, which are smaller than arrays of words; their words are cut again afterwards
     suspects = docs.select(*row_key("doc_id", "text"), "text").join(found.distinct(), KEY, "left_semi").select(*KEY, words(lower_ascii(F.col("text"))).alias("w"))
-    for size in sorted(sizes):
-        at = suspects.select(*KEY, F.explode(_grams("w", size, 1)).alias("g")).select(*KEY, "g.*")
-        at = at.join(hint(grams.where(F.col("size") == size)), "gram").select(*KEY, "pos", "size", "item_id")
-        exact = at if exact is None else exact.union(at)
+    exact = suspects.select(*KEY, F.explode(_grams("w", sorted(sizes))).alias("g")).select(*KEY, "g.*").join(hint(grams), ["size", "gram"])
     exact = exact.groupBy(*KEY).agg(F.collect_set(F.struct("pos", "size")).alias("at"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
     cover = F.flatten(F.transform("at", lambda x: F.sequence(x["pos"], x["pos"] + x["size"] - 1)))
     return exact.select(*KEY, F.array_distinct(cover).alias("hit"), "item_ids")
 
 
-def _hashes_of_gram(part: int) -> Column:
+def _hashes_of_gram(sizes: list[int]) -> Column:
+    """Of a window all hashes that a probe inside it may have."""
     w = F.split("gram", " ")
-    return F.transform(F.sequence(F.lit(1), F.size(w) - part + 1), lambda i: F.xxhash64(F.slice(w, i, F.lit(part))))
+    part = F.element_at(F.create_map(*[F.lit(x) for s in sizes for x in (s, _probe(s)[1])]), F.col("size"))
+    return F.transform(F.sequence(F.lit(1), F.size(w) - part + 1), lambda i: F.xxhash64(F.slice(w, i, part)))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, remove: str = "none") -> DataFrame:
