@@ -48,6 +48,12 @@ def slots(tag: str) -> list[int]:
     return sorted(FEATURES.index(x) for x in found)
 
 
+def bits(tag: str) -> int:
+    """The slots as a 64-bit number, slot 0 the lowest; negative with slot 63."""
+    n = sum(1 << i for i in slots(tag))
+    return n - (1 << 64) if n >> 63 else n
+
+
 def _rules() -> list[list[tuple[str, int, str]]]:
     """For each slot the (class, position, letter) that set it."""
     rules: list[list[tuple[str, int, str]]] = [[] for _ in FEATURES]
@@ -68,4 +74,10 @@ def features(tag: Column) -> Column:
     return F.array(*[F.coalesce(tag.rlike(one(r)).cast("int"), F.lit(0)) for r in _rules()])
 
 
+def packed(tag: Column) -> Column:
+    """The same as a long, a bit for each slot."""
+    each = F.transform(features(tag), lambda x, i: F.call_function("shiftleft", x.cast("long"), i))
+    return F.aggregate(each, F.lit(0).cast("long"), lambda n, x: n.bitwiseOR(x))
+
+
 SLOT_SQL = [(name, r) for name, r in zip(FEATURES, _rules(), strict=True)]
