@@ -10,7 +10,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -187,30 +189,103 @@ def _in_order(ids: list[str]) -> bool:
     return all(x == str(i) or (m := _NUMBER.match(x)) is not None and m[0] == str(i) for i, x in enumerate(ids, 1))
 
 
+#: Relations that a rule before the last two looks at; a sentence without any meets only those two.
+_MOVING = ("предл", "2-компл", "3-компл", "4-компл", "присвяз", "аналит", "пасс-анал", "предик", "соч-союзн", "сочин")
+#: Tokens worked on at once.
+TOKENS = 200_000
+
+
+def _plain_order(ids: pa.Array, pos: np.ndarray) -> np.ndarray:
+    """Which ids are just the number of their place."""
+    return pc.equal(ids, pc.cast(pa.array(pos), pa.string())).to_numpy(zero_copy_only=False)
+
+
+def _per_row(flags: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return np.diff(np.concatenate([[0], np.cumsum(flags)])[ends])
+
+
+def _loose(columns: dict[str, pa.Array], kind: str) -> np.ndarray:
+    return pc.and_(pc.equal(columns["deprel"], "_"), pc.starts_with(columns["feats"], kind)).to_numpy(zero_copy_only=False)
+
+
 def _rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        lists = batch.column("toks")
-        columns = {f: lists.values.field(f).fill_null("") for f in FIELDS}
-        read = [columns[f].to_pylist() for f in _READ]
-        order, ends, kept, new = [], [0], [], {"id": [], "head": [], "deprel": []}
-        for row, (a, b) in enumerate(zip(lists.offsets[:-1].to_pylist(), lists.offsets[1:].to_pylist(), strict=True)):
-            if a == b or not _in_order(read[0][a:b]):
-                continue
-            toks = Sentence([dict(zip(_READ, t, strict=True)) for t in zip(*(c[a:b] for c in read), strict=True)]).rewrite()
-            kept.append(row)
-            order += [*range(a, b), *[None] * (len(toks) - (b - a))]  # stubs come last, and have no row of their own yet
-            ends.append(len(order))
-            for f, out in new.items():
-                out += [t[f] for t in toks]
-        places = pa.array(order, pa.int64())
-        made = [pa.array(new[f], pa.string()) if f in new else columns[f].take(places).fill_null("STUB" if f == "misc" else "_") for f in FIELDS]
-        toks = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(made, list(FIELDS)))
-        yield pa.RecordBatch.from_arrays([batch.column("sent_id").take(pa.array(kept, pa.int64())), toks], ["sent_id", "toks"])
+        sums = np.concatenate([[0], np.cumsum(pc.list_value_length(batch.column("toks")).to_numpy(zero_copy_only=False).astype(np.int64))])
+        i = 0
+        while i < len(batch):
+            j = max(i + 1, int(np.searchsorted(sums, sums[i] + TOKENS, "right")) - 1)
+            yield _rewritten_part(batch.slice(i, j - i))
+            i = j
+
+
+def _rewritten_part(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Sentences that only the last rules concern are worked on as arrays; the others one by one."""
+    lists = batch.column("toks")
+    toks = lists.flatten()
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))])
+    columns = {f: toks.field(f).fill_null("") for f in FIELDS}
+    size = np.diff(ends)
+    pos = np.arange(ends[-1]) - np.repeat(ends[:-1], size) + 1
+    odd = _per_row(~_plain_order(columns["id"], pos), ends) > 0
+    moving = _per_row(pc.is_in(columns["deprel"], pa.array(_MOVING)).to_numpy(zero_copy_only=False), ends) > 0
+    simple = np.flatnonzero((size > 0) & ~odd & ~moving)
+    # the array way: punctuation, then stubs by the first loose conjunction and the first loose particle
+    columns_now = columns | {"deprel": pc.if_else(pc.is_in(columns["form"], pa.array(PUNCTUATION)), "PUNC", columns["deprel"])}
+    loose = {kind: _loose(columns_now, kind) for kind in ("C", "Q")}
+    firsts = {}
+    for kind, flags in loose.items():
+        at = np.flatnonzero(flags)
+        rows = np.searchsorted(ends, at, "right") - 1
+        first = np.full(len(batch), np.iinfo(np.int64).max)
+        np.minimum.at(first, rows, at)
+        firsts[kind] = first
+    none = np.iinfo(np.int64).max
+    number, stubs = {}, np.zeros(len(batch), np.int64)
+    for kind, other in (("C", "Q"), ("Q", "C")):
+        number[kind] = size + 1 + (firsts[other] < firsts[kind])
+        stubs += firsts[kind] < none
+    rows = np.repeat(np.arange(len(batch)), size)
+    head, deprel = columns["head"], columns_now["deprel"]
+    for kind, flags in loose.items():
+        mask = pa.array(flags)
+        head = pc.replace_with_mask(head, mask, pc.cast(pa.array(number[kind][rows[flags]]), pa.string()))
+        deprel = pc.replace_with_mask(deprel, mask, pc.utf8_lower(columns["feats"].filter(mask)) if kind == "C" else pa.array(["q"] * int(flags.sum()), pa.string()))
+    # the others
+    slow = [x for x in np.flatnonzero((size > 0) & (odd | moving)).tolist() if not odd[x] or _in_order(columns["id"].slice(ends[x], size[x]).to_pylist())]
+    done = {}
+    for x in slow:
+        read = [columns[f].slice(ends[x], size[x]).to_pylist() for f in _READ]
+        done[x] = Sentence([dict(zip(_READ, t, strict=True)) for t in zip(*read, strict=True)]).rewrite()
+    kept = np.sort(np.concatenate([simple, np.array(slow, np.int64)]))
+    n = stubs.copy()
+    for x, t in done.items():
+        n[x] = len(t) - size[x]
+    # each kept row: its tokens, then its stubs
+    total = (size + n)[kept]
+    out = np.concatenate([[0], np.cumsum(total)])
+    of = np.repeat(kept, total)
+    place = np.arange(out[-1]) - np.repeat(out[:-1], total)
+    stub = place >= size[of]
+    takes = pa.array(np.where(stub, 0, ends[of] + place), pa.int64(), mask=stub)
+    ids = pc.if_else(pa.array(stub), pc.cast(pa.array(place + 1), pa.string()), columns["id"].take(takes))
+    new = {"id": ids, "head": head.take(takes).fill_null("0"), "deprel": deprel.take(takes).fill_null("_")}
+    if done:
+        at = dict(zip(kept.tolist(), out[:-1].tolist(), strict=True))
+        spots = np.concatenate([np.arange(at[x], at[x] + len(t)) for x, t in done.items()])
+        order = np.argsort(spots)
+        mask = np.zeros(out[-1], bool)
+        mask[spots] = True
+        for f in new:
+            values = pa.array([t[f] for toks in done.values() for t in toks], pa.string()).take(pa.array(order))
+            new[f] = pc.replace_with_mask(new[f], pa.array(mask), values)
+    made = [new[f] if f in new else columns[f].take(takes).fill_null("STUB" if f == "misc" else "_") for f in FIELDS]
+    toks = pa.ListArray.from_arrays(pa.array(out.astype(np.int32)), pa.StructArray.from_arrays(made, list(FIELDS)))
+    return pa.RecordBatch.from_arrays([batch.column("sent_id").take(pa.array(kept, pa.int64())), toks], ["sent_id", "toks"])
 
 
 def fit(sentences: DataFrame, exclude_numbers: bool = False) -> DataFrame:
     """sent_id, toks after all rules, in their order. Sentences whose ids are not 1..n go."""
-    rows = sentences.select("sent_id", cleaned(F.col("toks"), exclude_numbers).alias("toks"))
+    rows = sentences.where("toks IS NOT NULL").select("sent_id", cleaned(F.col("toks"), exclude_numbers).alias("toks"))
     fields = ", ".join(f"{f}: string" for f in FIELDS)
     kind = dict(sentences.dtypes)["sent_id"]
-    return rows.where("toks IS NOT NULL").mapInArrow(_rewritten, f"sent_id {kind}, toks array<struct<{fields}>>")
+    return rows.mapInArrow(_rewritten, f"sent_id {kind}, toks array<struct<{fields}>>")

@@ -142,3 +142,29 @@ def test_sentences_with_null_lemmas_stay(spark):
     rows = [(i, [tuple({"id": str(j + 1), "form": "f", "lemma": t[0], "head": str(j)}.get(n, "_") for n in names) for j, t in enumerate(toks)]) for i, toks in rows]
     df = spark.createDataFrame(rows, f"sent_id long, toks array<struct<{','.join(f'{n}:string' for n in names)}>>")
     assert sorted(r.sent_id for r in rewrite(df, parse_list(["a_b\t[a[b]]"])).collect()) == [1, 2, 3]
+
+
+def test_sentences_without_moving_relations_are_arrays(monkeypatch):
+    """Only sentences with a relation that a rule follows are taken one by one, with the same results."""
+    import random
+
+    import pyarrow as pa
+
+    from arbolex.operators import fit as module
+    from arbolex.sources.conll import FIELDS
+
+    r = random.Random(5)
+
+    def sentence(relations):
+        n = r.randrange(1, 9)
+        return [dict.fromkeys(FIELDS, "_") | {"id": r.choice([str(i + 1)] * 9 + [f"{i + 1}a"]), "form": r.choice("ab,."), "lemma": r.choice(["и", None]), "feats": r.choice(["Cc", "Q", "Ncmsny", ""]), "head": str(r.randrange(n + 2)), "deprel": r.choice(relations)} for i in range(n)]
+
+    sentences = [sentence(module.RELATIONS + ["_"]) if i % 2 else sentence(["_", "PUNC", "атриб"]) for i in range(400)]
+    clean = lambda s: [{k: v or "" for k, v in t.items()} for t in s]
+    want = [module.Sentence(clean(s)).rewrite() for s in sentences if module._in_order([t["id"] for t in s])]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array(sentences, pa.list_(pa.struct([(f, pa.string()) for f in FIELDS])))], ["sent_id", "toks"])
+    monkeypatch.setattr(module, "TOKENS", 40)
+    assert [t for out in module._rewritten(iter([batch])) for t in out.column("toks").to_pylist()] == want
+    plain = pa.RecordBatch.from_arrays([c.filter(pa.array([i % 2 == 0 and all(t["id"] == str(j) for j, t in enumerate(s, 1)) for i, s in enumerate(sentences)])) for c in batch.columns], batch.schema.names)
+    monkeypatch.setattr(module, "Sentence", None)
+    assert sum(map(len, module._rewritten(iter([plain])))) == len(plain) > 0
