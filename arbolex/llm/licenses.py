@@ -8,6 +8,9 @@ one gram of two words: of SHARE of a passage's words, two at least are left side
 ones are scattered. The spans are then verified word by word in the texts; only texts that hold a gram of a
 template go through that shuffle. So that common pairs of words do not count, passages' grams are looked for
 only where a window of WIDTH holds enough words of one passage, or where RARE_K words of one stand together.
+
+Arrow workers take a batch of texts by chunks and send each chunk's rows before the next (and at most HELD spans at
+a time), so that beside the batch itself they hold what a chunk needs, however many words a batch has.
 """
 
 from __future__ import annotations
@@ -56,6 +59,8 @@ TEMPLATES = [(p.split(), label, True, True) for p, label in BASE.items()] + [(p.
 PHRASE_K, PASSAGE_K, RARE_K, APART, SHARE = 2, 2, 4, 8, 0.7
 #: Of a passage's words: how many texts' words it may lie among, as a factor.
 WIDTH = 1.5
+#: Spans that a worker holds before it sends their rows.
+HELD = 10_000
 _WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 _FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -98,9 +103,9 @@ def _plausible(words: np.ndarray) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def _grams(texts: pa.Array) -> Iterator[tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]]:
-    """By chunks: words' bounds by row, and for PHRASE_K and PASSAGE_K the hashes at the first word of each gram."""
-    for _, bounds, data in textarrays.chunks(texts):
+def _grams(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]]:
+    """By chunks: the first row, words' bounds by row, and for PHRASE_K and PASSAGE_K the hashes at the first word of each gram."""
+    for first, bounds, data in textarrays.chunks(texts):
         data = textarrays.lowered(data)
         starts, ends, rows = textarrays.word_spans(data, bounds, textarrays.NOT_ALNUM)
         words = textarrays.span_hashes(data, starts, ends)
@@ -111,14 +116,14 @@ def _grams(texts: pa.Array) -> Iterator[tuple[np.ndarray, list[tuple[np.ndarray,
             whole = np.searchsorted(rows, np.arange(len(grams)), "right") == np.searchsorted(rows, np.arange(len(grams)) + k - 1, "right")
             at = np.flatnonzero(whole & _plausible(words)[: len(grams)] if j else whole)
             out.append((at, textarrays.mix(grams[at] ^ np.uint64(2 * k + j))))
-        yield rows, out
+        yield first, rows, out
 
 
 def _template_grams() -> list[tuple[int, int, int]]:
     """(hash, template, position)"""
     out = []
     for i, (words, _, _, exact) in enumerate(TEMPLATES):
-        (_, grams), = [(r, g) for r, g in _grams(pa.array([" ".join(words)]))]
+        (_, grams), = [(r, g) for _, r, g in _grams(pa.array([" ".join(words)]))]
         at, hashes = grams[0 if exact else 1]
         out += [(int(h), i, int(p)) for p, h in zip(at, hashes.view(np.int64), strict=True)]
     return out
@@ -130,26 +135,23 @@ _ROLLING = "__k1 long, __k2 long, grams array<struct<place:int,h:long>>"
 def _rolling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each document its grams: place of the first word, and hash; those of phrases and of passages have different hashes."""
     for batch in batches:
-        row, place, hashes, first = [], [], [], 0
-        for rows, grams in _grams(batch.column("text")):
-            for at, h in grams:
-                own = np.searchsorted(rows, at, "right") - 1
-                row.append(own + first)
-                place.append(at - rows[own])
-                hashes.append(h)
-            first += len(rows) - 1
-        row, place, hashes = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (row, place, hashes))
-        order = np.argsort(row, kind="stable")
-        offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(batch)))]).astype(np.int32)
-        each = pa.StructArray.from_arrays([pa.array(place[order].astype(np.int32)), pa.array(hashes[order].view(np.int64))], ["place", "h"])
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in KEY), pa.ListArray.from_arrays(pa.array(offsets), each)], [*KEY, "grams"])
+        for first, rows, grams in _grams(batch.column("text")):
+            part = batch.slice(first, len(rows) - 1)
+            row = np.concatenate([np.searchsorted(rows, at, "right") - 1 for at, _ in grams])
+            place = np.concatenate([at for at, _ in grams]) - rows[row]
+            hashes = np.concatenate([h for _, h in grams])
+            order = np.argsort(row, kind="stable")
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(part)))]).astype(np.int32)
+            each = pa.StructArray.from_arrays([pa.array(place[order].astype(np.int32)), pa.array(hashes[order].view(np.int64))], ["place", "h"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in KEY), pa.ListArray.from_arrays(pa.array(offsets), each)], [*KEY, "grams"])
 
 
 def spans(docs: DataFrame) -> DataFrame:
     """__k1, __k2, spans array<struct<template, start, end, votes>>: the candidates that voting proposes."""
     spark = docs.sparkSession
-    grams = spark.createDataFrame(_template_grams(), "h long, template int, at int")
-    sizes = spark.createDataFrame([(i, len(w), e) for i, (w, _, _, e) in enumerate(TEMPLATES)], "template int, size int, exact boolean")
+    h, template, at = zip(*_template_grams(), strict=True)  # from Arrow: no Python workers of their own, which would stay
+    grams = spark.createDataFrame(pa.table({"h": pa.array(h, pa.int64()), "template": pa.array(template, pa.int32()), "at": pa.array(at, pa.int32())}))
+    sizes = spark.createDataFrame(pa.table({"template": pa.array(range(len(TEMPLATES)), pa.int32()), "size": pa.array([len(t[0]) for t in TEMPLATES], pa.int32()), "exact": [t[3] for t in TEMPLATES]}))
     each = docs.select(*row_key("doc_id", "text"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_rolling, _ROLLING)
     votes = each.select(*KEY, F.explode("grams").alias("g")).select(*KEY, "g.*").join(F.broadcast(grams), "h")
     votes = votes.groupBy(*KEY, "template", (F.col("place") - F.col("at")).alias("diagonal")).agg(F.count_distinct("at").alias("votes"), F.min("place").alias("start"), F.max("place").alias("end"))
@@ -169,16 +171,13 @@ def _suspects(hashes: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, held = [], []
-            for rows, grams in _grams(batch.column("text")):
-                some = np.zeros(len(rows) - 1, bool)
+            for first, rows, grams in _grams(batch.column("text")):
+                part = batch.slice(first, len(rows) - 1)
+                some = np.zeros(len(part), bool)
                 for at, h in grams:
                     some[np.searchsorted(rows, at[np.isin(h, hashes)], "right") - 1] = True
-                sizes.append(np.diff(rows))
-                held.append(some)
-            n, keep = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (sizes, held))
-            texts = pa.array([t if k else None for t, k in zip(batch.column("text").to_pylist(), keep.tolist(), strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*KEY, "doc_id")), pa.array(n.astype(np.int64)), texts], [*KEY, "doc_id", "n_words", "text"])
+                texts = part.column("text").take(pa.array(np.arange(len(part)), mask=~some))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in (*KEY, "doc_id")), pa.array(np.diff(rows).astype(np.int64)), texts.cast(pa.string())], [*KEY, "doc_id", "n_words", "text"])
 
     return run
 
@@ -286,14 +285,18 @@ _FOUND_ARROW = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int32())
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = []
-        for text, some in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+        first, held, out = 0, 0, []
+        for i, (text, some) in enumerate(zip(batch.column("text"), batch.column("spans"), strict=True)):
             found = []
-            for start, end, template, share in found_in(_WORD.findall(text.translate(_FOLD)), some) if some else ():
+            for start, end, template, share in found_in(_WORD.findall(text.as_py().translate(_FOLD)), some.as_py()) if some.is_valid else ():
                 _, label, base, _ = TEMPLATES[template]
                 found.append({"label": label, "start": start, "end": end, "base": base, "score": share})
             out.append(sorted(found, key=lambda x: (x["start"], x["end"], x["label"])))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array(out, _FOUND_ARROW)], ["doc_id", "n_words", "found"])
+            held += len(found)
+            if held >= HELD or i == len(batch) - 1:
+                part = batch.slice(first, len(out))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_words"), pa.array(out, _FOUND_ARROW)], ["doc_id", "n_words", "found"])
+                first, held, out = i + 1, 0, []
 
 
 def license_scan(docs: DataFrame) -> DataFrame:

@@ -363,3 +363,28 @@ def test_few_labels_count(spark):
     labels = spark.createDataFrame([(i, int(i < 3)) for i in range(12)], "doc_id long, quality int")
     rows = quality.quality_rules(df, labels).collect()
     assert not any(r.base_failed or r.kept for r in rows) and all(abs(r.score - 0.25) < 0.05 for r in rows)
+
+
+def test_license_workers_send_by_chunks(monkeypatch):
+    """What a worker of the licence scan holds depends on a chunk, not on the number of a batch's words; the rows stay the same."""
+    hashes = np.array([h for h, _, _ in licenses._template_grams()], np.int64).view(np.uint64)
+    texts = ["The MIT License. ", "no such words here ", "", "CC BY and mit license; " + licenses.PASSAGES["bsd"][0] + " "] * 100
+    n = len(texts)
+    batch = pa.RecordBatch.from_pydict({"__k1": list(range(n)), "__k2": [0] * n, "doc_id": list(range(n)), "n_words": [0] * n, "text": texts})
+    each = [{"template": 3, "start": 1, "end": 3, "votes": 1}], None, None, [{"template": 2, "start": 0, "end": 2, "votes": 1}, {"template": 3, "start": 3, "end": 5, "votes": 1}]
+    batch = batch.append_column("spans", pa.array(each * 100, pa.list_(pa.struct([(c, pa.int32()) for c in ("template", "start", "end", "votes")]))))
+    runs = {"rolling": licenses._rolling, "suspects": licenses._suspects(hashes), "verified": licenses._verified}
+    rows = lambda run: [x for b in run(iter([batch, batch.slice(0, 0), batch.slice(3, 5)])) for x in b.to_pylist()]
+    whole = {name: rows(run) for name, run in runs.items()}
+    assert [x["text"] for x in whole["suspects"]][:n] == [t if "mit" in t.lower() else None for t in texts]
+    assert [len(x["found"]) for x in whole["verified"]][:4] == [1, 0, 0, 2]
+    monkeypatch.setattr(textarrays, "CHUNK", 1000)
+    monkeypatch.setattr(licenses, "HELD", 10, raising=False)
+    for name, run in runs.items():
+        sent = [len(b) for b in run(iter([batch]))]
+        assert sum(sent) == n and max(sent) <= 40, (name, sent)
+    # hashes at chunks' edges may be proposed besides, so only the exact phrases' grams must be the same
+    assert {k: rows(run) for k, run in runs.items() if k != "rolling"} == {k: x for k, x in whole.items() if k != "rolling"}
+    known = {h for h, t, _ in licenses._template_grams() if licenses.TEMPLATES[t][3]}
+    phrases = lambda found: [(x["__k1"], [(g["place"], g["h"]) for g in x["grams"] if g["h"] in known]) for x in found]
+    assert phrases(rows(runs["rolling"])) == phrases(whole["rolling"])
